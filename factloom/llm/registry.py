@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe
+from factloom.llm import bpe, simhash
 
-_MODULES = (bpe,)
+_MODULES = (bpe, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
