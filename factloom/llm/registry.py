@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, simhash
+from factloom.llm import bpe, simhash, urls
 
-_MODULES = (bpe, simhash)
+_MODULES = (bpe, simhash, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
