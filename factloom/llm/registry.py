@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, pii, simhash, urls
+from factloom.llm import bpe, pii, quality, simhash, urls
 
-_MODULES = (bpe, simhash, urls, pii)
+_MODULES = (bpe, simhash, urls, pii, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
