@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, pii, quality, simhash, urls
+from factloom.llm import bpe, pii, quality, simhash, toxicity, urls
 
-_MODULES = (bpe, simhash, urls, pii, quality)
+_MODULES = (bpe, simhash, urls, pii, quality, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
