@@ -31,9 +31,11 @@ NAME = "op7_toxicity"
 #: Terms of the lexicon at most; the strongest are kept.
 TERMS = 2000
 #: Toxic documents that must hold a term, and how many times likelier it must be there.
-LEAST_DOCS, LEAST_RATIO = 4, 25.0
+LEAST_DOCS, LEAST_RATIO = 5, 15.0
+#: The same as a share of the sample's toxic documents: copies of one must not make a term.
+LEAST_SHARE = 0.01
 #: Letters of the shortest beginning that counts as a term.
-STEM = 4
+STEM = 3
 WINDOW = 5
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[\"“”„«»:]")
@@ -160,9 +162,9 @@ def learn(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     if not bad or not good:
         return Lexicon({}, {}, {}), np.array([*[0.0] * 8, 30.0 if bad else -30.0])
     ratio = ((F.col("toxic") + 0.5) / (bad + 1)) / ((F.col("other") + 0.5) / (good + 1))
-    strong = _terms(sample).withColumn("ratio", ratio).where((F.col("toxic") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
+    strong = _terms(sample).withColumn("ratio", ratio).where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * bad)) & (F.col("ratio") >= LEAST_RATIO))
     # a beginning must also be purer than chance: few other documents hold it
-    rows = strong.where("other <= 0.05 * toxic").orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    rows = strong.where("other <= 0.2 * toxic").orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
     words = {r["term"]: math.log(r["ratio"]) for r in rows if not r["term"].endswith("*")}
     stems: dict[str, float] = {}
     for r in sorted((r for r in rows if r["term"].endswith("*")), key=lambda r: len(r["term"])):
