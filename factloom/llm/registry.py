@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, pii, quality, rules, simhash, toxicity, urls
+from factloom.llm import bpe, pii, quality, rules, simhash, suffixtree, toxicity, urls
 
-_MODULES = (bpe, simhash, urls, pii, quality, toxicity, rules)
+_MODULES = (bpe, simhash, urls, pii, quality, toxicity, rules, suffixtree)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
