@@ -30,6 +30,8 @@ from factloom.llm.samples import HELD_OUT, labelled
 NAME = "op7_toxicity"
 #: Terms of the lexicon at most; the strongest are kept.
 TERMS = 2000
+#: Of these, the strongest words at most that are also searched misspelled.
+FUZZY = 300
 #: Toxic documents that must hold a term, and how many times likelier it must be there.
 LEAST_DOCS, LEAST_RATIO = 5, 15.0
 #: The same as a share of the sample's toxic documents: copies of one must not make a term.
@@ -51,35 +53,51 @@ def allowed(size: int) -> int:
 
 
 class Trie:
-    """A lexicon's trie; ``near`` intersects it with the Levenshtein automaton of a word."""
+    """A lexicon's trie; ``near`` intersects it with the Levenshtein automaton of a word.
+
+    The automaton's states are bits: bit i of the j-th number says that i letters of the word
+    are read with j edits.  A branch is given up as soon as no bit is left."""
 
     def __init__(self, terms):
         self.root: dict = {}
+        self.parts: set[str] = set()
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
+            self.parts.update(term[i:k] for i in range(len(term)) for k in range(i + 1, len(term) + 1))
 
     def near(self, word: str) -> str | None:
         """The closest term within its allowed distance, the first in order among equals."""
-        best: tuple[int, str] | None = None
         size, most = len(word), allowed(len(word) + 1)
-        stack = [(self.root, tuple(range(size + 1)))]  # states: edits so far for each prefix of the word
+        # of one part more than there are edits, one stands unchanged in the term
+        cuts = [size * k // (most + 1) for k in range(most + 2)]
+        if not any(word[i:k] in self.parts for i, k in zip(cuts, cuts[1:])):
+            return None
+        masks: dict[str, int] = {}
+        for i, c in enumerate(word):
+            masks[c] = masks.get(c, 0) | 2 << i
+        full, last = (2 << size) - 1, 1 << size
+        best: tuple[int, str] | None = None
+        stack = [(self.root, [(2 << j) - 1 & full for j in range(most + 1)])]
         while stack:
-            node, row = stack.pop()
+            node, states = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= min(most, allowed(len(child))) and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
+                    edits = next((j for j, r in enumerate(states) if r & last), None)
+                    if edits is not None and edits <= allowed(len(child)) and (best is None or (edits, child) < best):
+                        best = (edits, child)
                     continue
-                left = row[0] + 1
-                made = [left]
-                for i, w in enumerate(word):
-                    left = min(left + 1, row[i + 1] + 1, row[i] + (w != c))
-                    made.append(left)
-                if min(made) <= most:
-                    stack.append((child, tuple(made)))
+                mask = masks.get(c, 0)
+                before, old = states[0] << 1 & mask, states[0]
+                made = [before]
+                for r in states[1:]:
+                    before = (r << 1 & mask | old | old << 1 | before << 1) & full
+                    old = r
+                    made.append(before)
+                if before:
+                    stack.append((child, made))
         return best[1] if best else None
 
 
@@ -172,7 +190,8 @@ def learn(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
         if not any(stem[:n] in stems for n in range(STEM, len(stem))) and not any(w.startswith(stem) and r["toxic"] <= 1.2 * c for w, c in ((x["term"], x["toxic"]) for x in rows if x["term"] in words)):
             stems[stem] = math.log(r["ratio"])
     plain = {w: v for w, v in words.items() if not any(w[:n] in stems for n in range(STEM, len(w) + 1))}
-    lexicon = Lexicon(plain, stems, {w: v for w, v in plain.items() if allowed(len(w))})
+    strongest = sorted((w for w in plain if allowed(len(w))), key=lambda w: (-plain[w], w))[:FUZZY]
+    lexicon = Lexicon(plain, stems, {w: plain[w] for w in strongest})
     # a term whose near misses are common in other documents isn't searched for misspelled
     misses = map_rows(sample, ["label"], "terms array<string>", ["text"], lambda: lambda t: (_misspelled(t, lexicon),))
     per_term = misses.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()
