@@ -34,14 +34,13 @@ from factloom.llm.common import fold, small_batches, written
 NAME = "op10_suffixtree"
 MODULUS, REMAINDER = 7, 2
 DEPTH = 5
-P_MIN = 1e-4
+P_MIN = 2e-5
 #: A context is retained if both its divergence (in nats) and twice that times its count reach these.
 LEAST_KL, LEAST_G = 0.002, 30.0
 SMOOTH, SMOOTH_ROOT = 5.0, 0.1
 #: Neighbouring rows of a chunk, bytes of a lane, and different grams that a task holds at once.
 ROWS, LANE, HELD = 1024, 512, 1_500_000
 END = b"\n"
-_LEVEL = 56
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -76,16 +75,6 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def levels(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts for contexts of each length, from those of the longest; the length is in the top byte."""
-    parts = []
-    for k in range(DEPTH + 1):
-        short = keys & ((1 << 8 * (k + 1)) - 1)
-        whole = (short >> 8 * k) != 0 if k else np.ones(len(keys), dtype=bool)
-        parts.append((short[whole] | (k << _LEVEL), n[whole]))
-    return merged(parts)
-
-
 def counted(docs: DataFrame) -> DataFrame:
     """Counts of ``docs`` (chunk, text, train): ``chunk, word, n`` rows, and ``gram, n`` rows.
 
@@ -100,7 +89,7 @@ def counted(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def grams_of(parts: list) -> pa.RecordBatch:
-        keys, n = levels(*merged(parts))
+        keys, n = merged(parts)
         return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=names)
 
     def run(batches):
@@ -222,7 +211,10 @@ def grow(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Tree:
 def learn(rows: DataFrame) -> Tree:
     """The tree of the corpus, from the ``gram, n`` rows of ``counted``."""
     sums = rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
-    one = sums.select(F.shiftright("gram", _LEVEL).alias("level"), F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+    windows = [F.struct(F.lit(k).alias("level"), F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8).alias("context")) for k in range(DEPTH + 1)]
+    one = sums.select(F.explode(F.array(*windows)).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n").select("at.*", "symbol", "n")
+    # a window that reaches before the text has a byte 0 in front, and is none of that length
+    one = one.where((F.col("level") == 0) | F.expr("shiftright(context, 8 * (level - 1)) <> 0")).groupBy("level", "context", "symbol").agg(F.sum("n").alias("n"))
     # a context has at most 256 symbols; contexts at least P_MIN of all are at most 1 / P_MIN a level
     by = one.groupBy("level", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
     by = written(by, "contexts")
@@ -231,7 +223,7 @@ def learn(rows: DataFrame) -> Tree:
         return grow({})
     found = {}
     for r in by.where(F.col("total") >= P_MIN * total[0]).toLocalIterator():
-        context = (r["context"] & ((1 << 8 * r["level"]) - 1)).to_bytes(r["level"], "big")
+        context = r["context"].to_bytes(r["level"], "big")
         pairs = sorted((x["symbol"], x["n"]) for x in r["next"])
         found[context] = (np.array([s for s, _ in pairs], dtype=np.int64), np.array([n for _, n in pairs], dtype=np.int64))
     return grow(found)
