@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -84,14 +85,16 @@ class Index:
         n = len(texts)
         self.blocks = max(1, -(-n // POSTINGS))
         self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in self.terms]
-        self.most = np.zeros((len(self.terms) + 1, self.blocks), dtype=np.float32)  # the last row is for other words
+        self.most = np.zeros((len(self.terms), self.blocks), dtype=np.float32)
         own = np.zeros(n)
+        weights: list[dict[int, float]] = [{} for _ in texts]
         for item, c in enumerate(counts):
             size = K1 * (1 - B + B * len(texts[item]) / mean)
             for w, k in c.items():
                 idf = math.log(1 + (n - spread[w] + 0.5) / (spread[w] + 0.5))
                 weight, t = idf * k * (K1 + 1) / (k + size), self.terms[w]
                 own[item] += weight
+                weights[item][t] = weight
                 self.postings[t][item // POSTINGS].append((item, weight))
                 self.most[t, item // POSTINGS] = max(self.most[t, item // POSTINGS], weight)
         # of a longer item, a passage half covered by it holds this share of its words at least
@@ -100,34 +103,57 @@ class Index:
         least = np.full(self.blocks * POSTINGS, np.inf)
         least[:n] = self.threshold
         self.least = least.reshape(self.blocks, POSTINGS).min(axis=1)
-
-    def passages(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Term numbers of a text's indexed words, where they stand, and the passages' starts."""
-        get, none = self.terms.get, len(self.terms)
-        number = np.fromiter((get(w, none) for w in words), dtype=np.int64, count=len(words))
-        place = np.nonzero(number != none)[0]
-        starts = list(range(0, max(1, len(words) - STEP), STEP))
-        return number[place], place, starts
+        self._essential(weights)
+
+    def _essential(self, weights: list[dict[int, float]]) -> None:
+        """Terms without one of which an item can't reach its threshold, as rows by term."""
+        rows: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.rest = np.zeros(len(weights))
+        for item, of_term in enumerate(weights):
+            for t, w in sorted(of_term.items(), key=lambda x: (x[1], x[0])):
+                if self.rest[item] + w < self.threshold[item] - 1e-6:
+                    self.rest[item] += w
+                else:
+                    rows[t].append((item, w))
+        terms = sorted(rows)
+        self.essential = {w: k for w, t in self.terms.items() if (k := self._place(terms, t)) >= 0}
+        self.row = np.concatenate([[0], np.cumsum([len(rows[t]) for t in terms])]).astype(np.int64)
+        self.row_item = np.array([i for t in terms for i, _ in rows[t]], dtype=np.int64)
+        self.row_weight = np.array([w for t in terms for _, w in rows[t]])
+
+    @staticmethod
+    def _place(terms: list[int], t: int) -> int:
+        k = bisect_left(terms, t)
+        return k if k < len(terms) and terms[k] == t else -1
+
+    def hopeful(self, words: list[str]) -> list[tuple[int, int]]:
+        """Passages and blocks in which the essential terms, and all others, could reach a threshold."""
+        get = self.essential.get
+        met = [(k, t) for k, t in enumerate(map(get, words)) if t is not None]
+        if not met:
+            return []
+        place, term = np.array(met, dtype=np.int64).T
+        half = place // STEP
+        last = max(0, -(-len(words) // STEP) - 2)  # a passage is two halves; a short text has one
+        first = np.concatenate([np.minimum(half, last), np.clip(half - 1, 0, last)])
+        key = np.unique(first * len(self.row) + np.concatenate([term, term]))
+        passage, term = key // len(self.row), key % len(self.row)
+        size = self.row[term + 1] - self.row[term]
+        at = np.repeat(self.row[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        n = len(self.ids)
+        pair, where = np.unique(np.repeat(passage, size) * n + self.row_item[at], return_inverse=True)
+        total = np.bincount(where, weights=self.row_weight[at])
+        item = pair % n
+        good = total + self.rest[item] >= self.threshold[item] - 1e-6
+        return sorted(set(zip((pair[good] // n).tolist(), (item[good] // POSTINGS).tolist())))
 
     def retrieve(self, words: list[str]) -> set[int]:
         """Items that some passage of the text scores over their threshold."""
         found: set[int] = set()
-        if not words or not self.ids:
-            return found
-        number, place, starts = self.passages(words)
-        low = np.searchsorted(place, starts)
-        high = np.searchsorted(place, np.array(starts) + PASSAGE)
-        if not len(number):
-            return found
-        # repeated terms only raise the bound; half passages are summed once and added
-        sums = np.zeros((len(number) + 1, self.blocks), dtype=np.float64)
-        np.cumsum(self.most[number], axis=0, out=sums[1:])
-        hopeful = (sums[high] - sums[low]) >= self.least - 1e-6
-        for k in np.nonzero(hopeful.any(axis=1))[0]:
-            terms = np.unique(number[low[k] : high[k]])
-            blocks = np.nonzero(self.most[terms].sum(axis=0, dtype=np.float64) >= self.least - 1e-6)[0]
-            for block in blocks.tolist():
-                found.update(self.walk(terms.tolist(), block))
+        for passage, block in self.hopeful(words):
+            terms = sorted({self.terms[w] for w in words[passage * STEP : passage * STEP + PASSAGE] if w in self.terms})
+            if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-3:
+                found.update(self.walk(terms, block))
         return found
 
     def walk(self, terms: list[int], block: int) -> list[int]:
