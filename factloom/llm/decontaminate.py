@@ -238,6 +238,19 @@ def matches(df: DataFrame, items: DataFrame, keep: list[str], text: str = "text"
     return out
 
 
+def without(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose whole text holds no item, with their columns; nothing is shuffled."""
+    for block in blocks_of(items):
+        sent = df.sparkSession.sparkContext.broadcast(block)
+
+        def start(sent=sent):
+            index = _index(sent.value)
+            return lambda t: (bool(index.search(t)),)
+
+        df = map_rows(df, df.columns, "__held boolean", [text], start).where("NOT __held").drop("__held")
+    return df
+
+
 _INDEX: dict[int, tuple[list, Index]] = {}
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, pii, quality, rules, simhash, suffixtree, toxicity, urls
+from factloom.llm import bpe, decontaminate, html, pii, quality, rules, simhash, suffixtree, toxicity, urls
 
-_MODULES = (bpe, simhash, urls, pii, quality, toxicity, rules, suffixtree, decontaminate)
+_MODULES = (bpe, simhash, urls, pii, quality, toxicity, rules, suffixtree, decontaminate, html)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
