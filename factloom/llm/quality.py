@@ -152,23 +152,24 @@ def _flat(share: float) -> Model:
     return Model(np.zeros(_N), np.ones(_N), np.zeros((_N, 1)), np.zeros(1), np.zeros(2 + _N), np.zeros(0), np.array([share]))
 
 
-def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``score`` (0 to 1) of each row's whole text."""
-    kept = keep if keep is not None else [c for c in df.columns if c != "score"]
+def score(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, to: str = "score") -> DataFrame:
+    """Add ``to``, the score (0 to 1) of each row's whole text."""
+    kept = keep if keep is not None else [c for c in df.columns if c != to]
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         return lambda t: (float(sent.value.score(np.array([statistics(t)]))[0]),)
 
-    return map_rows(df, kept, "score double", [text], start)
+    return map_rows(df, kept, f"{to} double", [text], start)
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """Fit on the labels that aren't held out, and score all of ``docs``."""
-    return score(docs, fit(labelled(docs, labels, "quality")), keep=keep)
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    """A classifier fitted on the labels that aren't held out."""
+    return fit(labelled(docs, labels, "quality"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    scored = classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fitted(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", (fold(F.col("doc_id"), HELD_OUT) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
