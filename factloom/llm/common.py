@@ -55,17 +55,17 @@ def fold(col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def map_rows(
+def map_lists(
     df: DataFrame,
     keep: list[str],
     schema: str,
     columns: list[str],
-    start: Callable[[], Callable[..., Iterable]],
+    start: Callable[[], Callable[..., list]],
 ) -> DataFrame:
-    """Apply a row function to Arrow batches: ``keep`` columns pass, ``schema`` fields are added.
+    """Apply a function of lists to Arrow batches: ``keep`` columns pass, ``schema`` fields are added.
 
-    ``start()`` runs once in each task and returns a function of one value of each of
-    ``columns`` (nulls as None); that returns a tuple with a value for each field."""
+    ``start()`` runs once in each task and returns a function of a list of values for each of
+    ``columns`` (nulls as None); that returns a list with a tuple for each row."""
     small_batches(df.sparkSession)
     added = T._parse_datatype_string(schema)
     out = T.StructType([*(df.schema[c] for c in keep), *added.fields])
@@ -78,11 +78,26 @@ def map_rows(
         types = [to_arrow_type(f.dataType) for f in added.fields]
         apply = start()
         for batch in batches:
-            inputs = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-            rows = [apply(*x) for x in zip(*inputs)]
+            rows = apply(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns])
             made = list(zip(*rows)) if rows else [()] * len(types)
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             arrays += [pa.array(v, type=t) for v, t in zip(made, types)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.select(*taken).mapInArrow(run, out)
+
+
+def map_rows(
+    df: DataFrame,
+    keep: list[str],
+    schema: str,
+    columns: list[str],
+    start: Callable[[], Callable[..., Iterable]],
+) -> DataFrame:
+    """``map_lists`` with a function of one row's values, which returns that row's tuple."""
+
+    def started() -> Callable[..., list]:
+        apply = start()
+        return lambda *lists: [apply(*row) for row in zip(*lists)]
+
+    return map_lists(df, keep, schema, columns, started)

@@ -4,9 +4,11 @@ The test items are indexed: each term's postings are ordered by item and cut int
 which the largest contribution is kept.  Every training passage, a window of ``PASSAGE``
 words, is a query; windows overlap by half, and cover every word of every document.  An item
 is retrieved when a passage scores ``RETRIEVE`` of what the item scores against itself, times
-the share of it that must stand in one passage.  First the sums of block maxima are taken for
-all passages at once; a passage goes on only with blocks whose bound reaches the least
-threshold in them, and there the postings are walked by pivots.
+the share of it that must stand in one passage.  An item's weakest terms, which add up to less
+than ``SPARED`` of its threshold, are set aside as a bound; the others' scores are summed for
+all passages of many texts at once.  A passage goes on only with blocks in which that sum and
+the bound reach a threshold, then only if the block maxima of all its terms do; there the
+postings are walked by pivots.
 
 A retrieved item counts if question and answer overlap with the document: the question is
 the item up to its last sentence, the answer that sentence.  Of the question's runs of five
@@ -33,13 +35,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_rows, table
+from factloom.llm.common import map_lists, table
 
 NAME = "op1_decontaminate"
 #: Words of a passage, and of the step between passages.
 PASSAGE, STEP = 128, 64
 K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP, RUN = 0.6, 0.8, 5
+#: Share of an item's threshold that the terms set aside stay under.
+SPARED = 0.7
+#: Words of the texts that are searched at once.
+AT_ONCE = 250_000
 #: Items in a block of postings, and words in a block of items, some 100 MB as an index.
 POSTINGS, BLOCK_WORDS = 16, 500_000
 _WORD = re.compile(r"\w+")
@@ -106,12 +112,12 @@ class Index:
         self._essential(weights)
 
     def _essential(self, weights: list[dict[int, float]]) -> None:
-        """Terms without one of which an item can't reach its threshold, as rows by term."""
+        """Each item's terms but the weakest, as rows by term; ``rest`` bounds what those add."""
         rows: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.rest = np.zeros(len(weights))
         for item, of_term in enumerate(weights):
             for t, w in sorted(of_term.items(), key=lambda x: (x[1], x[0])):
-                if self.rest[item] + w < self.threshold[item] - 1e-6:
+                if self.rest[item] + w < SPARED * self.threshold[item]:
                     self.rest[item] += w
                 else:
                     rows[t].append((item, w))
@@ -126,17 +132,22 @@ class Index:
         k = bisect_left(terms, t)
         return k if k < len(terms) and terms[k] == t else -1
 
-    def hopeful(self, words: list[str]) -> list[tuple[int, int]]:
-        """Passages and blocks in which the essential terms, and all others, could reach a threshold."""
+    def hopeful(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
+        """Texts, passages and blocks in which the essential terms and the rest could reach a threshold."""
         get = self.essential.get
-        met = [(k, t) for k, t in enumerate(map(get, words)) if t is not None]
-        if not met:
+        passages, terms, first = [], [], [0]
+        for words in texts:
+            last = max(0, -(-len(words) // STEP) - 2)  # a passage is two halves; a short text has one
+            met = [(k, t) for k, t in enumerate(map(get, words)) if t is not None]
+            if met:
+                place, term = np.array(met, dtype=np.int64).T
+                half = place // STEP
+                passages += [np.minimum(half, last) + first[-1], np.clip(half - 1, 0, last) + first[-1]]
+                terms += [term, term]
+            first.append(first[-1] + last + 1)
+        if not terms:
             return []
-        place, term = np.array(met, dtype=np.int64).T
-        half = place // STEP
-        last = max(0, -(-len(words) // STEP) - 2)  # a passage is two halves; a short text has one
-        first = np.concatenate([np.minimum(half, last), np.clip(half - 1, 0, last)])
-        key = np.unique(first * len(self.row) + np.concatenate([term, term]))
+        key = np.unique(np.concatenate(passages) * len(self.row) + np.concatenate(terms))
         passage, term = key // len(self.row), key % len(self.row)
         size = self.row[term + 1] - self.row[term]
         at = np.repeat(self.row[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
@@ -145,15 +156,18 @@ class Index:
         total = np.bincount(where, weights=self.row_weight[at])
         item = pair % n
         good = total + self.rest[item] >= self.threshold[item] - 1e-6
-        return sorted(set(zip((pair[good] // n).tolist(), (item[good] // POSTINGS).tolist())))
-
-    def retrieve(self, words: list[str]) -> set[int]:
-        """Items that some passage of the text scores over their threshold."""
-        found: set[int] = set()
-        for passage, block in self.hopeful(words):
-            terms = sorted({self.terms[w] for w in words[passage * STEP : passage * STEP + PASSAGE] if w in self.terms})
+        found = np.unique((pair[good] // n) * self.blocks + item[good] // POSTINGS)
+        text = np.searchsorted(first, found // self.blocks, side="right") - 1
+        return list(zip(text.tolist(), (found // self.blocks - np.array(first)[text]).tolist(), (found % self.blocks).tolist()))
+
+    def retrieve(self, texts: list[list[str]]) -> dict[int, set[int]]:
+        """By text, items that some passage of it scores over their threshold."""
+        found: dict[int, set[int]] = defaultdict(set)
+        for text, passage, block in self.hopeful(texts):
+            words = texts[text][passage * STEP : passage * STEP + PASSAGE]
+            terms = sorted({self.terms[w] for w in words if w in self.terms})
             if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-3:
-                found.update(self.walk(terms, block))
+                found[text].update(self.walk(terms, block))
         return found
 
     def walk(self, terms: list[int], block: int) -> list[int]:
@@ -186,12 +200,8 @@ class Index:
                 found.append(item)
         return found
 
-    def search(self, text: str | None) -> list[tuple[int, float]]:
-        """Items that a whole text holds, with the smaller overlap of question and answer."""
-        words = words_of(text)
-        candidates = self.retrieve(words)
-        if not candidates:
-            return []
+    def verified(self, words: list[str], candidates: set[int]) -> list[tuple[int, float]]:
+        """Of the items, those of which a text holds question and answer, with the smaller overlap."""
         # all runs of five words, and of any shorter part's length
         held = {RUN: runs(words) if len(words) >= RUN else set()}
         found = []
@@ -206,6 +216,20 @@ class Index:
                 found.append((self.ids[item], overlap))
         return found
 
+    def search(self, texts: list[str | None]) -> list[list[tuple[int, float]]]:
+        """Items that each whole text holds."""
+        out: list[list[tuple[int, float]]] = []
+        group: list[list[str]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            group.append(words_of(text))
+            size += len(group[-1])
+            if size >= AT_ONCE or k == len(texts) - 1:
+                met = self.retrieve(group)
+                out += [self.verified(words, met[i]) if i in met else [] for i, words in enumerate(group)]
+                group, size = [], 0
+        return out
+
 
 def blocks_of(items: DataFrame) -> list[list[tuple[int, str]]]:
     """Items in blocks of a bounded number of words, in the order of their ids."""
@@ -230,9 +254,9 @@ def matches(df: DataFrame, items: DataFrame, keep: list[str], text: str = "text"
 
         def start(sent=sent):
             index = _index(sent.value)
-            return lambda t: (index.search(t),)
+            return lambda texts: [(hits,) for hits in index.search(texts)]
 
-        hits = map_rows(df, keep, f"hits array<struct<item_id:{kind},overlap:double>>", [text], start)
+        hits = map_lists(df, keep, f"hits array<struct<item_id:{kind},overlap:double>>", [text], start)
         rows = hits.select(*keep, F.explode("hits").alias("hit")).select(*keep, "hit.item_id", "hit.overlap")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -245,9 +269,9 @@ def without(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
         def start(sent=sent):
             index = _index(sent.value)
-            return lambda t: (bool(index.search(t)),)
+            return lambda texts: [(bool(hits),) for hits in index.search(texts)]
 
-        df = map_rows(df, df.columns, "__held boolean", [text], start).where("NOT __held").drop("__held")
+        df = map_lists(df, df.columns, "__held boolean", [text], start).where("NOT __held").drop("__held")
     return df
 
 
