@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.queries import QUERIES, SQL, load
+
+load()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """A query for each operator."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """The same in SQL."""
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that the driver runs first."""
-    return next(iter(queries().values()))(spark, sf_dir)
+    return QUERIES["flagship_large_customers_reopened"](spark, sf_dir)
