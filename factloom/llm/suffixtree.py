@@ -39,7 +39,7 @@ P_MIN = 2e-5
 LEAST_KL, LEAST_G = 0.002, 30.0
 SMOOTH, SMOOTH_ROOT = 5.0, 0.1
 #: Neighbouring rows of a chunk, bytes of a lane, and different grams that a task holds at once.
-ROWS, LANE, HELD = 1024, 512, 1_500_000
+ROWS, LANE, HELD = 2048, 512, 1_500_000
 END = b"\n"
 
 
