@@ -34,6 +34,14 @@ NAME = "op3_bpe"
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words whose tokens a worker remembers; beyond that it starts afresh.
 REMEMBERED = 150_000
+#: Letters and digits that are newer than the tokenizer's Unicode tables, which
+#: take them for marks; ranges of code points.
+_NEWER = (
+    "558 58b-58c 88f c5c cdc 1c89 208f 209d-209f a7cb-a7cc a7ce-a7cf a7d2 a7d4 a7da a7dc-a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10d50-10d65 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda "
+    "18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
+    "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
 _CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
 
 
@@ -50,6 +58,9 @@ class Bpe:
         self.special = special
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        newer = "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in _NEWER.split())
+        self.newer = regex.compile(f"[{newer}]")
+        self.words_with_newer = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|[[^{SPACE}\p{{L}}\p{{N}}]||[{newer}]]+")
         self.to_symbols = self._symbols()
         size = max([*self.vocab.values(), *special.values()]) + 1
         text_of = [""] * size
@@ -155,7 +166,8 @@ class Bpe:
         return array("i", self.encode_word(word)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.by_word[w] for w in self.words.findall(chunk)])
+        words = self.words if chunk.isascii() or not self.newer.search(chunk) else self.words_with_newer
+        return b"".join([self.by_word[w] for w in words.findall(chunk)])
 
     def packed(self, text: str | None) -> bytes:
         """Ids of a whole text as 32-bit integers.
