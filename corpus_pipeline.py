@@ -16,13 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, pii, quality, simhash
-from factloom.llm.common import table, written
+from factloom.llm.common import fresh, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier does not reject."""
-    scored = quality.score(docs, quality.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), to="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    scored = quality.score(docs, quality.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), to=(score := fresh(docs, "__score")))
+    return scored.where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     copies = found.where("doc_id > component_id").select("doc_id").distinct()
     rest = docs.join(copies, "doc_id", "left_anti")
     same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return rest.withColumn("__row", F.row_number().over(same)).where("__row = 1").select(*docs.columns)
+    row = fresh(docs, "__row")
+    return rest.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

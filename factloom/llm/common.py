@@ -50,6 +50,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the rows don't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def fold(col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % F.lit(modulus)

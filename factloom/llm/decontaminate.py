@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import map_lists, table
+from factloom.llm.common import fresh, map_lists, table
 
 NAME = "op1_decontaminate"
 #: Words of a passage, and of the step between passages.
@@ -271,7 +271,8 @@ def without(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
             index = _index(sent.value)
             return lambda texts: [(bool(hits),) for hits in index.search(texts)]
 
-        df = map_lists(df, df.columns, "__held boolean", [text], start).where("NOT __held").drop("__held")
+        held = fresh(df, "__held")
+        df = map_lists(df, df.columns, f"{held} boolean", [text], start).where(~F.col(held)).drop(held)
     return df
 
 

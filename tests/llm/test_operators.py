@@ -285,7 +285,7 @@ def test_language_model(spark, sf_dir):
     for r in rows:
         own = words[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (r["doc_id"] not in train, len(own), sum(count[w] > 0 for w in own), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + 1) / (v + 1)) if False else math.log10((count[w] + 1) / ((n + 1) * (v + 1))) for w in own))
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in own))
         assert r["score"] < 0
     held = [r for r in rows if r["held_out"]]
     size = sum(len(" ".join(words[r["doc_id"]]).encode()) for r in held)
