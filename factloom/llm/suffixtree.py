@@ -2,11 +2,12 @@
 
 The tree predicts the bytes of a text's tokens, joined by one space and closed by an end
 mark.  Its states are contexts of up to ``DEPTH`` bytes.  A context is a candidate if it
-makes up ``P_MIN`` of all training positions, which bounds the candidates of a length by
-1 / ``P_MIN`` at any size of the corpus, and it is retained if the next-byte distribution
-after it diverges from the one after its longest proper suffix.  Distributions are smoothed
-towards that suffix's, the root's towards the uniform one.  The longest suffix state is
-followed by an automaton over all prefixes of contexts, for many lanes of text at once.
+stands at ``LEAST_COUNT`` training positions, so the candidates grow with the corpus, and it
+is retained if the next-byte distribution after it diverges from the one after its longest
+proper suffix.  Distributions are smoothed towards that suffix's, the root's towards the
+uniform one.  Contexts that share their last two bytes are judged together, each group in a
+task; the retained ones are gathered and broadcast.  The longest suffix state is found by
+walking the trie of reversed contexts, for all positions of many texts at once.
 
 The base score takes each token's count over all training documents.  Words are counted in
 chunks of neighbouring rows, added up by word, and the counts that a chunk needs go back to
@@ -20,7 +21,6 @@ gives an empty one; other columns don't matter.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,12 +34,13 @@ from factloom.llm.common import fold, small_batches, written
 NAME = "op10_suffixtree"
 MODULUS, REMAINDER = 7, 2
 DEPTH = 5
-P_MIN = 2e-5
+#: Training positions of a candidate context; one seen once says nothing of what follows.
+LEAST_COUNT = 2
 #: A context is retained if both its divergence (in nats) and twice that times its count reach these.
 LEAST_KL, LEAST_G = 0.002, 30.0
 SMOOTH, SMOOTH_ROOT = 5.0, 0.1
-#: Neighbouring rows of a chunk, bytes of a lane, and different grams that a task holds at once.
-ROWS, LANE, HELD = 2048, 512, 1_500_000
+#: Neighbouring rows of a chunk, and different grams that a task holds at once.
+ROWS, HELD = 2048, 1_500_000
 END = b"\n"
 
 
@@ -127,6 +128,53 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("chunk", "text", "train").mapInArrow(run, "chunk bigint, word binary, gram bigint, n bigint")
 
 
+class Lookup:
+    """Numbers by different keys of 0 and more, for whole arrays at once; open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(8, (3 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = np.zeros(1 << bits, dtype=values.dtype)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            self.keys[at[free]] = keys[free]  # of keys with the same slot one gets it
+            placed = self.keys[at[left]] == keys[left]
+            self.values[at[left[placed]]] = values[left[placed]]
+            left = left[~placed]
+            at[left] = at[left] + 1 & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and which of the keys there are."""
+        at = self._slots(keys)
+        found = self.keys[at]
+        known = found == keys
+        left = np.flatnonzero(~known & (found != -1))
+        while len(left):
+            at[left] = at[left] + 1 & self.mask
+            found = self.keys[at[left]]
+            known[left] = found == keys[left]
+            left = left[(found != keys[left]) & (found != -1)]
+        return self.values[at], known
+
+
+@dataclass
+class Tables:
+    """``children`` by (node, byte before), each node's longest retained suffix, ``logs`` by
+    (state, symbol), and for symbols not seen after a state its suffix and what is added to that one's."""
+
+    depth: int
+    children: Lookup
+    state: np.ndarray
+    logs: Lookup
+    parent: np.ndarray
+    unseen: np.ndarray
+
+
 @dataclass
 class Tree:
     """Retained contexts with the counts of their next symbols; context 0 is the empty one."""
@@ -136,42 +184,40 @@ class Tree:
     symbols: np.ndarray
     counts: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Next state and log10 probability by (state, symbol), and the state at a text's start."""
+    def tables(self) -> Tables:
+        """What ``log_probability`` reads; it grows with the retained contexts, not with their square."""
         number = {c: i for i, c in enumerate(self.contexts)}
-        p = np.zeros((len(self.contexts), 256))
-        for i in sorted(range(len(self.contexts)), key=lambda i: len(self.contexts[i])):
-            at = slice(self.starts[i], self.starts[i + 1])
-            n = self.counts[at].sum()
-            if i == 0:
-                row, smooth = np.full(256, 1 / 256), SMOOTH_ROOT * 256
-            else:
-                row, smooth = p[number[_parent(self.contexts[i], number)]], SMOOTH
-            p[i] = row * (smooth / (n + smooth))
-            p[i, self.symbols[at]] += self.counts[at] / (n + smooth)
-        states = sorted({c[:k] for c in self.contexts for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        place = {c: i for i, c in enumerate(states)}
-        step, prob = np.zeros((len(states), 256), dtype=np.int32), np.zeros((len(states), 256), dtype=np.float32)
-        logs = np.log10(p).astype(np.float32)
-        for i, c in enumerate(states):
-            if c:
-                step[i] = step[place[next(c[k:] for k in range(1, len(c) + 1) if c[k:] in place)]]
-            prob[i] = logs[number[c] if c in number else number[_parent(c, number)]]
-            # children of shorter states are set before the rows of longer ones are copied
-            for s in self._children(c, place):
-                step[i, s[-1]] = place[s]
-        return step.ravel(), prob.ravel(), int(step[0, END[0]])
-
-    def _children(self, c: bytes, place: dict[bytes, int]) -> list[bytes]:
-        if not hasattr(self, "_by_prefix"):
-            self._by_prefix: dict[bytes, list[bytes]] = {}
-            for s in place:
-                if s:
-                    self._by_prefix.setdefault(s[:-1], []).append(s)
-        return self._by_prefix.get(c, [])
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_by_prefix"}
+        size = np.diff(self.starts)
+        parent = np.array([number[_parent(c, number)] if c else -1 for c in self.contexts], dtype=np.int64)
+        n = np.bincount(np.repeat(np.arange(len(size)), size), weights=self.counts, minlength=len(size))
+        smooth = np.where(parent < 0, SMOOTH_ROOT * 256, SMOOTH)
+        back = smooth / (n + smooth)
+        state = np.repeat(np.arange(len(size)), size)
+        key = state * 256 + self.symbols  # in order, as contexts and their symbols are
+        p = self.counts / (n + smooth)[state]
+        lengths = np.array([len(c) for c in self.contexts])[state]
+        for k in range(int(lengths.max(initial=0)) + 1):
+            rows = np.flatnonzero(lengths == k)
+            at, factor = parent[state[rows]], back[state[rows]]
+            while len(rows):
+                root = at < 0
+                p[rows[root]] += factor[root] / 256
+                rows, at, factor = rows[~root], at[~root], factor[~root]
+                wanted = at * 256 + self.symbols[rows]
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                seen = key[place] == wanted
+                p[rows[seen]] += factor[seen] * p[place[seen]]
+                rows, at, factor = rows[~seen], at[~seen], factor[~seen]
+                at, factor = parent[at], factor * back[at]
+        nodes = sorted({c[k:] for c in self.contexts for k in range(len(c) + 1)}, key=lambda c: (len(c), c))
+        place_of = {c: i for i, c in enumerate(nodes)}
+        longest = np.zeros(len(nodes), dtype=np.int64)
+        for i, c in enumerate(nodes):
+            longest[i] = number[c] if c in number else longest[place_of[c[1:]]]
+        children = np.array([place_of[c[1:]] * 256 + c[0] for c in nodes if c], dtype=np.int64)
+        unseen = np.log10(back)
+        unseen[0] -= np.log10(256)
+        return Tables(max(map(len, nodes)), Lookup(children, np.arange(1, len(nodes))), longest, Lookup(key, np.log10(p)), parent, unseen)
 
 
 def _parent(context: bytes, known) -> bytes:
@@ -179,15 +225,9 @@ def _parent(context: bytes, known) -> bytes:
     return next(context[k:] for k in range(1, len(context) + 1) if context[k:] in known)
 
 
-def grow(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """Retain candidate contexts by their divergence from the distribution of their suffix."""
-    found.setdefault(b"", (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
-    dense: dict[bytes, np.ndarray] = {}
-    total = found[b""][1].sum()
-    root = np.full(256, SMOOTH_ROOT / (total + 256 * SMOOTH_ROOT))
-    root[found[b""][0]] += found[b""][1] / (total + 256 * SMOOTH_ROOT)
-    dense[b""] = root
-    kept = {b""}
+def retained(found: dict[bytes, tuple[np.ndarray, np.ndarray]], dense: dict[bytes, np.ndarray]) -> list[bytes]:
+    """Candidate contexts that diverge from their longest suffix in ``dense``, to which their distributions are added."""
+    kept = []
     for context in sorted((c for c in found if c), key=lambda c: (len(c), c)):
         symbols, n = found[context]
         base = dense[_parent(context, dense)]
@@ -197,8 +237,20 @@ def grow(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Tree:
             smooth = base * (SMOOTH / (n.sum() + SMOOTH))
             smooth[symbols] += n / (n.sum() + SMOOTH)
             dense[context] = smooth
-            kept.add(context)
-    contexts = sorted(kept, key=lambda c: (len(c), c))
+            kept.append(context)
+    return kept
+
+
+def _root(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> dict[bytes, np.ndarray]:
+    """The distribution of the empty context, which is set where there is none."""
+    symbols, n = found.setdefault(b"", (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)))
+    root = np.full(256, SMOOTH_ROOT / (n.sum() + 256 * SMOOTH_ROOT))
+    root[symbols] += n / (n.sum() + 256 * SMOOTH_ROOT)
+    return {b"": root}
+
+
+def _tree(found: dict[bytes, tuple[np.ndarray, np.ndarray]], kept: list[bytes]) -> Tree:
+    contexts = sorted({b"", *kept}, key=lambda c: (len(c), c))
     sizes = [len(found[c][0]) for c in contexts]
     return Tree(
         contexts,
@@ -208,6 +260,25 @@ def grow(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Tree:
     )
 
 
+def grow(found: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> Tree:
+    """Retain candidate contexts by their divergence from the distribution of their suffix."""
+    dense = _root(found)
+    return _tree(found, retained(found, dense))
+
+
+def _found(rows: pa.Table) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    """Symbols in order and their counts by context, of ``level, context, next`` rows."""
+    found = {}
+    pairs = rows.column("next").combine_chunks()
+    flat, ends = pairs.flatten(), np.concatenate([[0], np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    symbols, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("symbol", "n"))
+    for i, (level, context) in enumerate(zip(rows.column("level").to_pylist(), rows.column("context").to_pylist())):
+        at = slice(ends[i], ends[i + 1])
+        order = np.argsort(symbols[at])
+        found[context.to_bytes(level, "big")] = (symbols[at][order], n[at][order])
+    return found
+
+
 def learn(rows: DataFrame) -> Tree:
     """The tree of the corpus, from the ``gram, n`` rows of ``counted``."""
     sums = rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -215,47 +286,52 @@ def learn(rows: DataFrame) -> Tree:
     one = sums.select(F.explode(F.array(*windows)).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n").select("at.*", "symbol", "n")
     # a window that reaches before the text has a byte 0 in front, and is none of that length
     one = one.where((F.col("level") == 0) | F.expr("shiftright(context, 8 * (level - 1)) <> 0")).groupBy("level", "context", "symbol").agg(F.sum("n").alias("n"))
-    # a context has at most 256 symbols; contexts at least P_MIN of all are at most 1 / P_MIN a level
+    # a context has at most 256 symbols
     by = one.groupBy("level", "context").agg(F.sum("n").alias("total"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-    by = written(by, "contexts")
-    total = by.where("level = 0").select("total").first()
-    if total is None:
-        return grow({})
-    found = {}
-    for r in by.where(F.col("total") >= P_MIN * total[0]).toLocalIterator():
-        context = r["context"].to_bytes(r["level"], "big")
-        pairs = sorted((x["symbol"], x["n"]) for x in r["next"])
-        found[context] = (np.array([s for s, _ in pairs], dtype=np.int64), np.array([n for _, n in pairs], dtype=np.int64))
-    return grow(found)
-
-
-def log_probability(streams: list[bytes], tables: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    by = written(by.where((F.col("level") == 0) | (F.col("total") >= LEAST_COUNT)).drop("total"), "contexts")
+    found = _found(by.where("level < 2").toArrow())  # 257 contexts at most
+    short = _root(found)
+    kept = retained(found, short)
+
+    def run(group: pa.Table) -> pa.Table:
+        # all suffixes of a context but the shortest share its last two bytes
+        held = _found(group)
+        good = retained(held, dict(short))
+        lists = [pa.array([held[c][k].tolist() for c in good], pa.list_(pa.int64())) for k in (0, 1)]
+        return pa.table([pa.array(good, pa.binary()), *lists], names=["context", "symbols", "counts"])
+
+    tail = F.col("context").bitwiseAND(F.lit(0xFFFF)).alias("tail")
+    longer = by.where("level > 1").groupBy(tail).applyInArrow(run, "context binary, symbols array<bigint>, counts array<bigint>")
+    for r in written(longer, "retained").toLocalIterator():
+        found[bytes(r["context"])] = (np.array(r["symbols"], dtype=np.int64), np.array(r["counts"], dtype=np.int64))
+        kept.append(bytes(r["context"]))
+    return _tree(found, kept)
+
+
+def log_probability(streams: list[bytes], tables: Tables) -> np.ndarray:
     """log10 probability of each stream of symbols."""
-    step, prob, start = tables
-    raw = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    size = len(raw)
-    lanes = max(1, -(-size // LANE))
-    lead = np.full(DEPTH + lanes * LANE, END[0], dtype=np.uint8)
-    lead[DEPTH : DEPTH + size] = raw
-    out = np.empty((LANE, lanes), dtype=np.float32)
-    base = np.arange(lanes) * LANE
-    # a state depends on the last DEPTH symbols alone, so that these bring every lane to its state
-    state = np.full(lanes, start, dtype=np.int64)
-    for k in range(DEPTH):
-        state = step[state * 256 + lead[base + k]].astype(np.int64)
-    columns = np.ascontiguousarray(lead[DEPTH:].reshape(lanes, LANE).T)
-    for k in range(LANE):
-        at = state * 256 + columns[k]
-        out[k] = prob[at]
-        state = step[at].astype(np.int64)
-    values = out.T.reshape(-1)[:size].astype(np.float64)
+    # a byte 0 is in no context, and none reaches over an end mark
+    raw = np.frombuffer(b"\0" * tables.depth + END + b"".join(streams), dtype=np.uint8).astype(np.int64)
+    first = tables.depth + 1
+    live, at = np.arange(len(raw) - first), np.zeros(len(raw) - first, dtype=np.int64)
+    node = at.copy()
+    for k in range(1, tables.depth + 1):
+        child, known = tables.children.get(at * 256 + raw[first - k + live])
+        live, at = live[known], child[known]
+        node[live] = at
+    state = tables.state[node]
+    values, left = np.zeros(len(state)), np.arange(len(state))
+    while len(left):
+        logs, known = tables.logs.get(state[left] * 256 + raw[first + left])
+        values[left[known]] += logs[known]
+        left = left[~known]
+        values[left] += tables.unseen[state[left]]
+        state[left] = tables.parent[state[left]]
+        left = left[state[left] >= 0]
     ends = np.cumsum([len(s) for s in streams])
     return np.add.reduceat(values, np.concatenate([[0], ends[:-1]])) if len(streams) else np.zeros(0)
 
 
-_TABLES: dict[str, tuple] = {}
-
-
 def score(docs: DataFrame) -> DataFrame:
     """Scores of ``docs`` (chunk, doc_id, text, train), each chunk a few MB of rows near each other."""
     spark = docs.sparkSession
@@ -266,13 +342,9 @@ def score(docs: DataFrame) -> DataFrame:
     sums = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n, v = int(sums["n"]), int(sums["v"])
     needed = words.select("chunk", "word").join(totals, "word").select("chunk", "word", "c")
-    sent = spark.sparkContext.broadcast(tree)
-    key = uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(tree.tables())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = sent.value.tables()
         count_of = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist()))
         unit, scores, numbers = np.log10(n + v + 1), [], []
         texts = left.column("text")
@@ -285,7 +357,7 @@ def score(docs: DataFrame) -> DataFrame:
                 numbers.append((len(found), int(np.count_nonzero(c)), float(np.log10(c + 1).sum() - len(found) * unit)))
                 found.pop()
                 streams.append(stream(found))
-            scores.append(log_probability(streams, _TABLES[key]))
+            scores.append(log_probability(streams, sent.value))
         many = list(zip(*numbers)) if numbers else [(), (), ()]
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array([not t for t in left.column("train").to_pylist()], pa.bool_()),

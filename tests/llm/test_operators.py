@@ -321,3 +321,24 @@ def test_suffix_states_are_followed():
         wanted += math.log10(p[number[context], s])
         before = (before + bytes([s]))[-suffixtree.DEPTH :]
     assert suffixtree.log_probability([text], tables)[0] == pytest.approx(wanted, abs=1e-3)
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    """A rare context is kept however much text stands beside it; every candidate is judged as ``grow`` does."""
+    rare, common = "qzxqz " * 20, "the tall tree and the old road " * 200
+    trees = []
+    for copies in (1, 400):
+        docs = spark.createDataFrame([(0, rare, True), *[(0, common, True)] * copies], "chunk long, text string, train boolean").coalesce(1)
+        rows = suffixtree.counted(docs).localCheckpoint()
+        trees.append(suffixtree.learn(rows))
+        found: dict = {}
+        for r in rows.where("gram IS NOT NULL").collect():
+            window = r["gram"].to_bytes(suffixtree.DEPTH + 1, "big")
+            for size in range(suffixtree.DEPTH + 1):
+                context = window[suffixtree.DEPTH - size : -1]
+                if b"\0" not in context:
+                    found.setdefault(context, Counter())[window[-1]] += r["n"]
+        whole = suffixtree.grow({c: (np.array(sorted(x)), np.array([x[s] for s in sorted(x)])) for c, x in found.items() if not c or x.total() >= suffixtree.LEAST_COUNT})
+        assert trees[-1].contexts == whole.contexts and (trees[-1].counts == whole.counts).all()
+    kept = {c for c in trees[1].contexts if b"q" in c or b"x" in c}
+    assert kept and {c for c in trees[0].contexts if b"q" in c or b"x" in c} <= kept
