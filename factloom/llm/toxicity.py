@@ -28,10 +28,6 @@ from factloom.llm.common import fold, map_rows, table
 from factloom.llm.samples import HELD_OUT, labelled
 
 NAME = "op7_toxicity"
-#: Terms of the lexicon at most; the strongest are kept.
-TERMS = 2000
-#: Of these, the strongest words at most that are also searched misspelled.
-FUZZY = 300
 #: Toxic documents that must hold a term, and how many times likelier it must be there.
 LEAST_DOCS, LEAST_RATIO = 5, 15.0
 #: The same as a share of the sample's toxic documents: copies of one must not make a term.
@@ -182,16 +178,20 @@ def learn(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     ratio = ((F.col("toxic") + 0.5) / (bad + 1)) / ((F.col("other") + 0.5) / (good + 1))
     strong = _terms(sample).withColumn("ratio", ratio).where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * bad)) & (F.col("ratio") >= LEAST_RATIO))
     # a beginning must also be purer than chance: few other documents hold it
-    rows = strong.where("other <= 0.2 * toxic").orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    rows = strong.where("other <= 0.2 * toxic").orderBy(F.desc("toxic"), "term").collect()
     words = {r["term"]: math.log(r["ratio"]) for r in rows if not r["term"].endswith("*")}
+    held: dict[str, int] = {}  # most documents of a word with this beginning
+    for r in rows:
+        if r["term"] in words:
+            for n in range(STEM, len(r["term"]) + 1):
+                held[r["term"][:n]] = max(r["toxic"], held.get(r["term"][:n], 0))
     stems: dict[str, float] = {}
     for r in sorted((r for r in rows if r["term"].endswith("*")), key=lambda r: len(r["term"])):
         stem = r["term"][:-1]
-        if not any(stem[:n] in stems for n in range(STEM, len(stem))) and not any(w.startswith(stem) and r["toxic"] <= 1.2 * c for w, c in ((x["term"], x["toxic"]) for x in rows if x["term"] in words)):
+        if not any(stem[:n] in stems for n in range(STEM, len(stem))) and not (stem in held and r["toxic"] <= 1.2 * held[stem]):
             stems[stem] = math.log(r["ratio"])
     plain = {w: v for w, v in words.items() if not any(w[:n] in stems for n in range(STEM, len(w) + 1))}
-    strongest = sorted((w for w in plain if allowed(len(w))), key=lambda w: (-plain[w], w))[:FUZZY]
-    lexicon = Lexicon(plain, stems, {w: plain[w] for w in strongest})
+    lexicon = Lexicon(plain, stems, {w: v for w, v in plain.items() if allowed(len(w))})
     # a term whose near misses are common in other documents isn't searched for misspelled
     misses = map_rows(sample, ["label"], "terms array<string>", ["text"], lambda: lambda t: (_misspelled(t, lexicon),))
     per_term = misses.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()

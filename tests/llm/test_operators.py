@@ -103,6 +103,19 @@ def test_automata_equal_edit_distance(word):
     assert toxicity.Trie(terms).near(word) == (best[1] if best else None)
 
 
+def lexicon_of(spark, words, good="plain calm talk of the day"):
+    """A lexicon learned from documents that hold all of ``words``, and from harmless ones."""
+    rows = [(i, " ".join(words), 1) for i in range(10)] + [(i, good, 0) for i in range(10, 200)]
+    return toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))[0]
+
+
+def test_every_word_is_searched_misspelled(spark):
+    rng = np.random.default_rng(2)
+    words = sorted({"".join(rng.choice(list("bcdfghjklm"), 3)) + "".join(rng.choice(list("npqrstvwxz"), 5)) for _ in range(400)})
+    lexicon = lexicon_of(spark, words)
+    assert len(lexicon.words) > 300 and [w for w in lexicon.words if lexicon.kind_of(w[:-1] + "y")[0] != 3] == []
+
+
 # 3
 
 
