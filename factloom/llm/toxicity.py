@@ -64,17 +64,20 @@ class Trie:
             node[""] = term
             self.parts.update(term[i:k] for i in range(len(term)) for k in range(i + 1, len(term) + 1))
 
-    def near(self, word: str) -> str | None:
-        """The closest term within its allowed distance, the first in order among equals."""
+    def near(self, word: str, beginning: bool = False) -> str | None:
+        """The closest term within its allowed distance of the word, or of a beginning of it; the
+        first in order among equals."""
         size, most = len(word), allowed(len(word) + 1)
-        # of one part more than there are edits, one stands unchanged in the term
-        cuts = [size * k // (most + 1) for k in range(most + 2)]
-        if not any(word[i:k] in self.parts for i, k in zip(cuts, cuts[1:])):
-            return None
+        if not beginning:
+            # of one part more than there are edits, one stands unchanged in the term
+            cuts = [size * k // (most + 1) for k in range(most + 2)]
+            if not any(word[i:k] in self.parts for i, k in zip(cuts, cuts[1:])):
+                return None
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 2 << i
-        full, last = (2 << size) - 1, 1 << size
+        full = (2 << size) - 1
+        last = full if beginning else 1 << size
         best: tuple[int, str] | None = None
         stack = [(self.root, [(2 << j) - 1 & full for j in range(most + 1)])]
         while stack:
@@ -99,16 +102,18 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """Words and beginnings with their weights; ``kind_of`` remembers the last words."""
+    """Words and beginnings with their weights; ``kind_of`` remembers the last words.
+
+    ``fuzzy`` holds what is searched misspelled, beginnings with ``*`` behind them."""
 
     words: dict[str, float]
     stems: dict[str, float]
     fuzzy: dict[str, float]
     memo: dict[str, tuple[int, float]] = field(default_factory=dict)
-    trie: Trie | None = None
+    tries: tuple[Trie, Trie] | None = None
 
     def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "fuzzy": self.fuzzy, "memo": {}, "trie": None}
+        return {"words": self.words, "stems": self.stems, "fuzzy": self.fuzzy, "memo": {}, "tries": None}
 
     def kind_of(self, word: str) -> tuple[int, float]:
         """Kind (0 none, 1 word, 2 beginning, 3 misspelled) and weight of a word."""
@@ -125,12 +130,28 @@ class Lexicon:
         for n in range(len(word), STEM - 1, -1):
             if word[:n] in self.stems:
                 return 2, self.stems[word[:n]]
-        if self.trie is None:
-            self.trie = Trie(self.fuzzy)
-        plain = word.translate(_LOOKALIKE)
-        term = self.trie.near(plain) if len(plain) >= 4 else None
+        term = self.meant(word)
         return (3, self.fuzzy[term]) if term else (0, 0.0)
 
+    def meant(self, word: str) -> str | None:
+        """The term that a word outside the lexicon misspells, whole or in its beginning."""
+        plain = word.translate(_LOOKALIKE)
+        if plain != word:
+            if plain in self.fuzzy:
+                return plain
+            for n in range(len(plain), STEM - 1, -1):
+                if plain[:n] + "*" in self.fuzzy:
+                    return plain[:n] + "*"
+        if len(plain) < 4:
+            return None
+        if self.tries is None:
+            self.tries = Trie(t for t in self.fuzzy if t[-1] != "*" and allowed(len(t))), Trie(t[:-1] for t in self.fuzzy if t[-1] == "*" and allowed(len(t) - 1))
+        term = self.tries[0].near(plain)
+        if term is None:
+            stem = self.tries[1].near(plain, beginning=True)
+            term = stem and stem + "*"
+        return term
+
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over a whole text: hits by kind, quoted hits, addressed hits, hits per word."""
@@ -191,7 +212,7 @@ def learn(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
         if not any(stem[:n] in stems for n in range(STEM, len(stem))) and not (stem in held and r["toxic"] <= 1.2 * held[stem]):
             stems[stem] = math.log(r["ratio"])
     plain = {w: v for w, v in words.items() if not any(w[:n] in stems for n in range(STEM, len(w) + 1))}
-    lexicon = Lexicon(plain, stems, {w: v for w, v in plain.items() if allowed(len(w))})
+    lexicon = Lexicon(plain, stems, words | {t + "*": v for t, v in stems.items()})
     # a term whose near misses are common in other documents isn't searched for misspelled
     misses = map_rows(sample, ["label"], "terms array<string>", ["text"], lambda: lambda t: (_misspelled(t, lexicon),))
     per_term = misses.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()
@@ -216,7 +237,7 @@ def _misspelled(text: str | None, lexicon: Lexicon) -> list[str]:
     found = set()
     for w in words:
         if lexicon.kind_of(w)[0] == 3:
-            found.add(lexicon.trie.near(w.translate(_LOOKALIKE)))
+            found.add(lexicon.meant(w))
     return sorted(found)
 
 

@@ -116,6 +116,15 @@ def test_every_word_is_searched_misspelled(spark):
     assert len(lexicon.words) > 300 and [w for w in lexicon.words if lexicon.kind_of(w[:-1] + "y")[0] != 3] == []
 
 
+def test_beginnings_are_searched_misspelled(spark):
+    rows = [(i, f"idiot{end} grumblewort{end}", 1) for i, end in enumerate(["s", "ic", "ischem", "e", "en"] * 6)] + [(i, "plain calm talk of the day", 0) for i in range(30, 230)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))[0]
+    assert not lexicon.words and all(lexicon.kind_of(w)[0] == 2 for w in ("idiots", "grumblewort"))
+    assert [lexicon.kind_of(w)[0] for w in ("1diots", "1di0tic", "ydiots", "calm", "day")] == [3, 3, 3, 0, 0]
+    known = toxicity.Lexicon({}, {"grumble": 1.0}, {"grumble*": 1.0})
+    assert [known.kind_of(w)[0] for w in ("grumblewort", "grunblewort", "grmblewort", "grxxblewort", "rumour")] == [2, 3, 3, 0, 0]
+
+
 # 3
 
 
