@@ -1,10 +1,11 @@
 """Benchmark decontamination: BM25 over test items, found with block-max WAND, then verified.
 
-The test items are indexed: each term's postings are ordered by item and cut into blocks, of
+The test items are indexed, and their questions and answers as entries of their own, so that
+the two may stand in different passages: each term's postings are ordered by item and cut into blocks, of
 which the largest contribution is kept.  Every training passage, a window of ``PASSAGE``
 words, is a query; windows overlap by half, and cover every word of every document.  An item
-is retrieved when a passage scores ``RETRIEVE`` of what the item scores against itself, times
-the share of it that must stand in one passage.  An item's weakest terms, which add up to less
+is retrieved when a passage scores ``RETRIEVE`` of what one of its entries scores against
+itself, times the share of that which must stand in one passage.  An entry's weakest terms, which add up to less
 than ``SPARED`` of its threshold, are set aside as a bound; the others' scores are summed for
 all passages of many texts at once.  A passage goes on only with blocks in which that sum and
 the bound reach a threshold, then only if the block maxima of all its terms do; there the
@@ -46,7 +47,7 @@ RETRIEVE, OVERLAP, RUN = 0.6, 0.8, 5
 SPARED = 0.7
 #: Words of the texts that are searched at once.
 AT_ONCE = 250_000
-#: Items in a block of postings, and words in a block of items, some 100 MB as an index.
+#: Items in a block of postings, and words in a block of items, some 200 MB as an index with their parts.
 POSTINGS, BLOCK_WORDS = 16, 500_000
 _WORD = re.compile(r"\w+")
 
@@ -88,6 +89,14 @@ class Index:
                 self.terms.setdefault(w, len(self.terms))
         spread = Counter(w for c in counts for w in c)
         mean = sum(map(len, texts)) / max(1, len(texts))
+        items_n = len(texts)
+        #: The item of each entry: the whole items first, then the parts of those with two.
+        self.of = list(range(items_n))
+        for item, (_, t) in enumerate(rows):
+            for part in (p for p in parts_of(t) if p and len(self.parts[item]) > 1):
+                self.of.append(item)
+                texts.append(part)
+                counts.append(Counter(part))
         n = len(texts)
         self.blocks = max(1, -(-n // POSTINGS))
         self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in self.terms]
@@ -97,7 +106,7 @@ class Index:
         for item, c in enumerate(counts):
             size = K1 * (1 - B + B * len(texts[item]) / mean)
             for w, k in c.items():
-                idf = math.log(1 + (n - spread[w] + 0.5) / (spread[w] + 0.5))
+                idf = math.log(1 + (items_n - spread[w] + 0.5) / (spread[w] + 0.5))
                 weight, t = idf * k * (K1 + 1) / (k + size), self.terms[w]
                 own[item] += weight
                 weights[item][t] = weight
@@ -151,7 +160,7 @@ class Index:
         passage, term = key // len(self.row), key % len(self.row)
         size = self.row[term + 1] - self.row[term]
         at = np.repeat(self.row[term] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        n = len(self.ids)
+        n = len(self.of)
         pair, where = np.unique(np.repeat(passage, size) * n + self.row_item[at], return_inverse=True)
         total = np.bincount(where, weights=self.row_weight[at])
         item = pair % n
@@ -161,17 +170,17 @@ class Index:
         return list(zip(text.tolist(), (found // self.blocks - np.array(first)[text]).tolist(), (found % self.blocks).tolist()))
 
     def retrieve(self, texts: list[list[str]]) -> dict[int, set[int]]:
-        """By text, items that some passage of it scores over their threshold."""
+        """By text, items of which some passage of it scores an entry over its threshold."""
         found: dict[int, set[int]] = defaultdict(set)
         for text, passage, block in self.hopeful(texts):
             words = texts[text][passage * STEP : passage * STEP + PASSAGE]
             terms = sorted({self.terms[w] for w in words if w in self.terms})
             if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-3:
-                found[text].update(self.walk(terms, block))
+                found[text].update(self.of[entry] for entry in self.walk(terms, block))
         return found
 
     def walk(self, terms: list[int], block: int) -> list[int]:
-        """Items of a block at or over their thresholds, by pivots over postings."""
+        """Entries of a block at or over their thresholds, by pivots over postings."""
         lists = [(self.most[t, block], self.postings[t][block]) for t in terms if block in self.postings[t]]
         at = [0] * len(lists)
         found, bound = [], float(self.least[block])

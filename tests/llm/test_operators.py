@@ -74,6 +74,19 @@ def test_planted_items_are_found(spark):
     assert sorted(r["doc_id"] for r in decontaminate.without(docs, items).collect()) == [2, 3]
 
 
+def test_question_and_answer_may_stand_apart(spark, sf_dir):
+    """Two-part items, the parts several passages apart: what the verifier accepts is found."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    filler = " ".join(["zzfiller"] * 400)
+    docs = [" ".join([filler, *question, filler, *answer, filler]) for question, answer in (decontaminate.parts_of(t) for _, t in items)]
+    docs.append(" ".join("ash elm oak fir yew bay box fig".split()) + " " + filler + " nine old men met there")
+    items.append((-1, "Ash elm oak fir yew bay box fig. Nine old men met there."))
+    index = decontaminate.Index(items)
+    everything = set(range(len(index.ids)))
+    wanted = [index.verified(decontaminate.words_of(d), everything) for d in docs]
+    assert index.search(docs) == wanted and all(i in [x for x, _ in w] for (i, t), w in zip(items, wanted) if decontaminate.words_of(t))
+
+
 # 2, 7
 
 
