@@ -2,8 +2,8 @@
 
 The lexicon is learned: words and word beginnings that the labelled sample's toxic documents
 hold far more often than the others.  A word is toxic if it or one of its beginnings is in the
-lexicon; a misspelled one is caught by walking the trie with the Levenshtein automaton of the
-word, which gives up a branch as soon as no state is within the distance.  Each hit is scored
+lexicon; a misspelled one is caught by the terms' Levenshtein automata, intersected with the
+trie of all of them and made deterministic as words are read.  Each hit is scored
 by its window of words: marks of quotation or reporting around it weaken it, words of address
 strengthen it.  A logistic regression turns a document's sums into a probability.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,6 @@ LEAST_SHARE = 0.01
 #: Letters of the shortest beginning that counts as a term.
 STEM = 3
 WINDOW = 5
-REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[\"“”„«»:]")
 _QUOTES = frozenset("\"“”„«»")
 _REPORTING = frozenset("said says wrote quoted quote called reported term word meaning sagte schrieb zitat disait écrit citation dijo escribió cita".split())
@@ -48,90 +47,148 @@ def allowed(size: int) -> int:
     return 0 if size < 5 else 1 if size < 9 else 2
 
 
-class Trie:
-    """A lexicon's trie; ``near`` intersects it with the Levenshtein automaton of a word.
-
-    The automaton's states are bits: bit i of the j-th number says that i letters of the word
-    are read with j edits.  A branch is given up as soon as no bit is left."""
-
-    def __init__(self, terms):
-        self.root: dict = {}
-        self.parts: set[str] = set()
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-            self.parts.update(term[i:k] for i in range(len(term)) for k in range(i + 1, len(term) + 1))
-
-    def near(self, word: str, beginning: bool = False) -> str | None:
-        """The closest term within its allowed distance of the word, or of a beginning of it; the
-        first in order among equals."""
-        size, most = len(word), allowed(len(word) + 1)
-        if not beginning:
-            # of one part more than there are edits, one stands unchanged in the term
-            cuts = [size * k // (most + 1) for k in range(most + 2)]
-            if not any(word[i:k] in self.parts for i, k in zip(cuts, cuts[1:])):
-                return None
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 2 << i
-        full = (2 << size) - 1
-        last = full if beginning else 1 << size
-        best: tuple[int, str] | None = None
-        stack = [(self.root, [(2 << j) - 1 & full for j in range(most + 1)])]
-        while stack:
-            node, states = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    edits = next((j for j, r in enumerate(states) if r & last), None)
-                    if edits is not None and edits <= allowed(len(child)) and (best is None or (edits, child) < best):
-                        best = (edits, child)
+class Automaton:
+    """The Levenshtein automata of all terms, intersected with the trie that holds them.
+
+    A state is a set of places: a node of the trie and the fewest edits with which the letters
+    read so far lead there.  A place is given up as soon as its edits are more than any term
+    below its node may differ by.  States are numbered and their steps remembered as words are
+    read, so that a word costs one lookup a letter, mostly until no place is left."""
+
+    #: Places and steps that are remembered at once; beyond that all are forgotten and made anew.
+    MOST = 1_500_000
+
+    def __init__(self, words, stems):
+        self.next: list[dict[str, int]] = [{}]
+        self.most = [0]  # edits that some term below the node may differ by
+        self.word: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
+        for ends, terms in ((self.word, words), (self.stem, stems)):
+            for term in terms:
+                if not allowed(len(term)):
                     continue
-                mask = masks.get(c, 0)
-                before, old = states[0] << 1 & mask, states[0]
-                made = [before]
-                for r in states[1:]:
-                    before = (r << 1 & mask | old | old << 1 | before << 1) & full
-                    old = r
-                    made.append(before)
-                if before:
-                    stack.append((child, made))
-        return best[1] if best else None
+                node = 0
+                for c in term:
+                    self.most[node] = max(self.most[node], allowed(len(term)))
+                    if c not in self.next[node]:
+                        self.next[node][c] = len(self.next)
+                        self.next.append({})
+                        self.most.append(0)
+                        self.word.append(None)
+                        self.stem.append(None)
+                    node = self.next[node][c]
+                self.most[node] = max(self.most[node], allowed(len(term)))
+                ends[node] = term
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.places: list[dict[int, int]] = []
+        self.steps: list[dict[str, int]] = []
+        self.ends: list[tuple] = []
+        self.held = 0
+        self.start = self._state({0: 0})
+
+    def _state(self, places: dict[int, int]) -> int:
+        """The number of the state with these places, to which those behind left-out letters are added."""
+        todo = sorted(places.items(), key=lambda x: x[1])
+        for node, edits in todo:  # grows while it is read, by rising edits
+            if places[node] == edits:
+                for child in self.next[node].values():
+                    if edits < self.most[child] and edits + 1 < places.get(child, 99):
+                        places[child] = edits + 1
+                        todo.append((child, edits + 1))
+        key = frozenset(places.items())
+        found = self.number.get(key)
+        if found is None:
+            found = self.number[key] = len(self.places)
+            self.places.append(places)
+            self.steps.append({})
+            of = lambda ends: min(((e, ends[n]) for n, e in places.items() if ends[n] is not None and e <= allowed(len(ends[n]))), default=None)
+            self.ends.append((of(self.word), of(self.stem)))
+            self.held += 1 + len(places)
+        return found
+
+    def _step(self, state: int, c: str) -> int:
+        made: dict[int, int] = {}
+        for node, edits in self.places[state].items():
+            if edits < self.most[node] and edits + 1 < made.get(node, 99):
+                made[node] = edits + 1
+            for letter, child in self.next[node].items():
+                cost = edits + (letter != c)
+                if cost <= self.most[child] and cost < made.get(child, 99):
+                    made[child] = cost
+        found = self.steps[state][c] = self._state(made) if made else -1
+        self.held += 1
+        return found
+
+    def near(self, word: str) -> tuple[str | None, str | None]:
+        """The closest whole term within its allowed distance of the word, and the closest
+        beginning within its own of a beginning of it; the first in order among equals."""
+        if self.held > self.MOST:
+            self._forget()
+        state, steps = self.start, self.steps
+        stem = self.ends[state][1]
+        for c in word:
+            following = steps[state].get(c)
+            state = self._step(state, c) if following is None else following
+            if state < 0:
+                return None, stem and stem[1]
+            end = self.ends[state][1]
+            if end is not None and (stem is None or end < stem):
+                stem = end
+        end = self.ends[state][0]
+        return end and end[1], stem and stem[1]
+
+
+class _Kinds(dict):
+    """Kinds of the words met last, None for those that are no hit; bounded by what they hold."""
+
+    LETTERS = 4_000_000
+
+    def __init__(self, kind_of):
+        self.kind_of, self.letters = kind_of, 0
+
+    def __missing__(self, word: str) -> tuple[int, float] | None:
+        found = self.kind_of(word)
+        self.letters += len(word) + 20
+        if self.letters > self.LETTERS:
+            self.clear()
+            self.letters = 0
+        if len(word) < 1000:
+            self[word] = found
+        return found
 
 
 @dataclass
 class Lexicon:
-    """Words and beginnings with their weights; ``kind_of`` remembers the last words.
+    """Words and beginnings with their weights; ``kinds`` remembers the last words.
 
     ``fuzzy`` holds what is searched misspelled, beginnings with ``*`` behind them."""
 
     words: dict[str, float]
     stems: dict[str, float]
     fuzzy: dict[str, float]
-    memo: dict[str, tuple[int, float]] = field(default_factory=dict)
-    tries: tuple[Trie, Trie] | None = None
 
-    def __getstate__(self):
-        return {"words": self.words, "stems": self.stems, "fuzzy": self.fuzzy, "memo": {}, "tries": None}
+    def __post_init__(self):
+        self.kinds = _Kinds(self._kind_of)
+        self.automaton: Automaton | None = None
+
+    def __reduce__(self):
+        return Lexicon, (self.words, self.stems, self.fuzzy)
 
     def kind_of(self, word: str) -> tuple[int, float]:
         """Kind (0 none, 1 word, 2 beginning, 3 misspelled) and weight of a word."""
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > REMEMBERED:
-                self.memo.clear()
-            found = self.memo[word] = self._kind_of(word)
-        return found
+        return self.kinds[word] or (0, 0.0)
 
-    def _kind_of(self, word: str) -> tuple[int, float]:
+    def _kind_of(self, word: str) -> tuple[int, float] | None:
         if word in self.words:
             return 1, self.words[word]
         for n in range(len(word), STEM - 1, -1):
             if word[:n] in self.stems:
                 return 2, self.stems[word[:n]]
         term = self.meant(word)
-        return (3, self.fuzzy[term]) if term else (0, 0.0)
+        return (3, self.fuzzy[term]) if term else None
 
     def meant(self, word: str) -> str | None:
         """The term that a word outside the lexicon misspells, whole or in its beginning."""
@@ -144,23 +201,19 @@ class Lexicon:
                     return plain[:n] + "*"
         if len(plain) < 4:
             return None
-        if self.tries is None:
-            self.tries = Trie(t for t in self.fuzzy if t[-1] != "*" and allowed(len(t))), Trie(t[:-1] for t in self.fuzzy if t[-1] == "*" and allowed(len(t) - 1))
-        term = self.tries[0].near(plain)
-        if term is None:
-            stem = self.tries[1].near(plain, beginning=True)
-            term = stem and stem + "*"
-        return term
+        if self.automaton is None:
+            self.automaton = Automaton((t for t in self.fuzzy if t[-1] != "*"), (t[:-1] for t in self.fuzzy if t[-1] == "*"))
+        term, stem = self.automaton.near(plain)
+        return term or stem and stem + "*"
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over a whole text: hits by kind, quoted hits, addressed hits, hits per word."""
     words = _WORD.findall((text or "").lower())
-    kinds = list(map(lexicon.kind_of, words))
+    kinds = lexicon.kinds
     sums = [0.0] * 8
-    for i, (kind, weight) in enumerate(kinds):
-        if not kind:
-            continue
+    for i, found in [(i, k) for i, k in enumerate([kinds[w] for w in words]) if k]:
+        kind, weight = found
         around = words[max(0, i - WINDOW) : i + WINDOW + 1]
         before = words[max(0, i - WINDOW) : i]
         quoted = not _QUOTES.isdisjoint(around) or not _REPORTING.isdisjoint(before)
@@ -214,11 +267,15 @@ def learn(sample: DataFrame) -> tuple[Lexicon, np.ndarray]:
     plain = {w: v for w, v in words.items() if not any(w[:n] in stems for n in range(STEM, len(w) + 1))}
     lexicon = Lexicon(plain, stems, words | {t + "*": v for t, v in stems.items()})
     # a term whose near misses are common in other documents isn't searched for misspelled
-    misses = map_rows(sample, ["label"], "terms array<string>", ["text"], lambda: lambda t: (_misspelled(t, lexicon),))
+    first = sample.sparkSession.sparkContext.broadcast(lexicon)
+    misses = map_rows(sample, ["label"], "terms array<string>", ["text"], lambda: lambda t: (_misspelled(t, first.value),))
     per_term = misses.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()
     noisy = {r["term"] for r in per_term if r["n"] - r["toxic"] > max(1, 0.2 * r["toxic"])}
     lexicon = Lexicon(plain, stems, {w: v for w, v in lexicon.fuzzy.items() if w not in noisy})
-    measured = map_rows(sample, ["doc_id", "label"], "x array<double>", ["text"], lambda: lambda t: (features(t, lexicon),)).orderBy("doc_id").toPandas()
+    second = sample.sparkSession.sparkContext.broadcast(lexicon)
+    measured = map_rows(sample, ["doc_id", "label"], "x array<double>", ["text"], lambda: lambda t: (features(t, second.value),)).orderBy("doc_id").toPandas()
+    first.unpersist()
+    second.unpersist()
     x = np.hstack([np.array(measured["x"].tolist()), np.ones((len(measured), 1))])
     y = measured["label"].to_numpy().astype(float)
     weights = np.zeros(x.shape[1])

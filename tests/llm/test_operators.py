@@ -100,20 +100,35 @@ def test_held_out_labels(name, label, spark):
     assert sum(pairs) / len(pairs) >= 0.85
 
 
-@pytest.mark.parametrize("word", ["cat", "kitten", "kiten", "mitten", "kittens", "sitting", "unrelated", "kitetn"])
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        old, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(old[j + 1] + 1, row[-1] + 1, old[j] + (x != y)))
+    return row[-1]
+
+
+def _near(word, words, stems):
+    """By full distances to every term, each within its own allowance."""
+    close = lambda d, t: d <= toxicity.allowed(len(t)) and toxicity.allowed(len(t)) > 0
+    whole = min(((_distance(word, t), t) for t in words if close(_distance(word, t), t)), default=(0, None))
+    begun = min(((d, t) for t in stems for d in [min(_distance(word[:n], t) for n in range(len(word) + 1))] if close(d, t)), default=(0, None))
+    return whole[1], begun[1]
+
+
+@pytest.mark.parametrize("word", ["cat", "kitten", "kiten", "mitten", "kittens", "sitting", "unrelated", "kitetn", "dirtbag", "dirtba", "drtbagsx9", "abomnable", ""])
 def test_automata_equal_edit_distance(word):
-    terms = ["kitten", "sitting", "abominable"]
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            old, row = row, [i + 1]
-            for j, y in enumerate(b):
-                row.append(min(old[j + 1] + 1, row[-1] + 1, old[j] + (x != y)))
-        return row[-1]
-
-    best = min(((distance(word, t), t) for t in terms if distance(word, t) <= toxicity.allowed(len(t)) and distance(word, t) <= toxicity.allowed(len(word) + 1)), default=None)
-    assert toxicity.Trie(terms).near(word) == (best[1] if best else None)
+    terms = ["kitten", "sitting", "abominable", "dirtbags9", "cat"]
+    assert toxicity.Automaton(terms, terms).near(word) == _near(word, terms, terms)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=11), max_size=6), st.lists(st.text("abc", max_size=12), max_size=4))
+def test_automata_of_any_terms(terms, words):
+    made = toxicity.Automaton(terms[::2], terms[1::2])
+    made.MOST = 40  # forgets what it remembers now and then
+    assert [made.near(w) for w in words] == [_near(w, terms[::2], terms[1::2]) for w in words]
 
 
 def lexicon_of(spark, words, good="plain calm talk of the day"):
