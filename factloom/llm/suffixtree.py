@@ -10,8 +10,8 @@ task; the retained ones are gathered and broadcast.  The longest suffix state is
 walking the trie of reversed contexts, for all positions of many texts at once.
 
 The base score takes each token's count over all training documents.  Words are counted in
-chunks of neighbouring rows, added up by word, and the counts that a chunk needs go back to
-it; so a frequent word is a row a chunk, and no vocabulary is gathered anywhere.
+chunks of neighbouring rows, dealt by word and added up there, and the counts that a chunk
+needs go back to it; so a frequent word is a row a chunk, and no vocabulary is gathered anywhere.
 
 Cases: null and empty texts hold the end token alone; long texts are read whole; repeated
 rows count as often as they stand there; a byte 0 is read as a byte 1; without training
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm.common import fold, small_batches, written
@@ -76,28 +77,20 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Counts of ``docs`` (chunk, text, train): ``chunk, word, n`` rows, and ``gram, n`` rows.
-
-    Each word that a chunk holds has a row, with its occurrences in training rows."""
-    names = ["chunk", "word", "gram", "n"]
+def counted_words(docs: DataFrame) -> DataFrame:
+    """``chunk, word, n`` of ``docs`` (chunk, text, train): a row for each word that a chunk
+    holds, with its occurrences in training rows."""
+    names = ["chunk", "word", "n"]
 
     def rows_of(chunk: int, seen: Counter, others: set[bytes]) -> pa.RecordBatch:
         words = [*seen, *(w for w in others if w not in seen)]
         n = np.zeros(len(words), dtype=np.int64)
         n[: len(seen)] = list(seen.values())
-        columns = [pa.array(np.full(len(words), chunk, dtype=np.int64)), pa.array(words, pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    def grams_of(parts: list) -> pa.RecordBatch:
-        keys, n = merged(parts)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk, dtype=np.int64)), pa.array(words, pa.binary()), pa.array(n)], names=names)
 
     def run(batches):
         chunk, seen, others = None, Counter(), set()
-        parts, held = [], 0
         for batch in batches:
-            streams = []
             for at, text, train in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if at != chunk:
                     if seen or others:
@@ -107,32 +100,45 @@ def counted(docs: DataFrame) -> DataFrame:
                 if train:
                     seen.update(words)
                     seen[END] += 1
-                    streams.append(stream(words))
                 else:
                     others.update(words)
                     others.add(END)
-            parts.append(grams(streams))
+        if seen or others:
+            yield rows_of(chunk, seen, others)
+
+    small_batches(docs.sparkSession)
+    return docs.select("chunk", "text", "train").mapInArrow(run, "chunk bigint, word binary, n bigint")
+
+
+def counted_grams(docs: DataFrame) -> DataFrame:
+    """``gram, n`` of the training rows of ``docs``, added up in each task as far as ``HELD`` allows."""
+
+    def batch_of(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(grams([stream(tokens(t)) for t in batch.column(0).to_pylist()]))
             held += len(parts[-1][0])
             if held > HELD:
                 parts = [merged(parts)]
                 held = len(parts[0][0])
-                if held > HELD:
-                    yield grams_of(parts)
+                if 2 * held > HELD:
+                    yield batch_of(*parts[0])
                     parts, held = [], 0
-        if seen or others:
-            yield rows_of(chunk, seen, others)
         if parts:
-            yield grams_of(parts)
+            yield batch_of(*merged(parts))
 
     small_batches(docs.sparkSession)
-    return docs.select("chunk", "text", "train").mapInArrow(run, "chunk bigint, word binary, gram bigint, n bigint")
+    return docs.where("train").select("text").mapInArrow(run, "gram bigint, n bigint")
 
 
 class Lookup:
     """Numbers by different keys of 0 and more, for whole arrays at once; open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(8, (3 * len(keys)).bit_length())
+        bits = max(8, (3 * len(keys) // 2).bit_length())  # a third to two thirds are filled
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
         self.values = np.zeros(1 << bits, dtype=values.dtype)
@@ -280,8 +286,8 @@ def _found(rows: pa.Table) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
 
 
 def learn(rows: DataFrame) -> Tree:
-    """The tree of the corpus, from the ``gram, n`` rows of ``counted``."""
-    sums = rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
+    """The tree of the corpus, from the rows of ``counted_grams``."""
+    sums = rows.groupBy("gram").agg(F.sum("n").alias("n"))
     windows = [F.struct(F.lit(k).alias("level"), F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8).alias("context")) for k in range(DEPTH + 1)]
     one = sums.select(F.explode(F.array(*windows)).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n").select("at.*", "symbol", "n")
     # a window that reaches before the text has a byte 0 in front, and is none of that length
@@ -335,18 +341,17 @@ def log_probability(streams: list[bytes], tables: Tables) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     """Scores of ``docs`` (chunk, doc_id, text, train), each chunk a few MB of rows near each other."""
     spark = docs.sparkSession
-    rows = written(counted(docs), "counts")
-    tree = learn(rows)
-    words = rows.where("word IS NOT NULL")
-    totals = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    sums = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n, v = int(sums["n"]), int(sums["v"])
-    needed = words.select("chunk", "word").join(totals, "word").select("chunk", "word", "c")
+    tree = learn(counted_grams(docs))
+    # dealt by word once: for each word's sum over its chunks, and for the numbers of all words
+    words = counted_words(docs).repartition("word")
+    c = F.sum("n").over(W.partitionBy("word"))
+    needed = words.select("chunk", "word", c.alias("c"))
+    totals = words.groupBy("word").agg(F.sum("n").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"))
     sent = spark.sparkContext.broadcast(tree.tables())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         count_of = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist()))
-        unit, scores, numbers = np.log10(n + v + 1), [], []
+        scores, numbers = [], []
         texts = left.column("text")
         for at in range(0, len(texts), 256):
             streams = []
@@ -354,20 +359,25 @@ def score(docs: DataFrame) -> DataFrame:
                 found = tokens(text)
                 found.append(END)
                 c = np.fromiter(map(count_of.__getitem__, found), dtype=np.int64, count=len(found))
-                numbers.append((len(found), int(np.count_nonzero(c)), float(np.log10(c + 1).sum() - len(found) * unit)))
+                numbers.append((len(found), int(np.count_nonzero(c)), float(np.log10(c + 1).sum())))
                 found.pop()
                 streams.append(stream(found))
             scores.append(log_probability(streams, sent.value))
         many = list(zip(*numbers)) if numbers else [(), (), ()]
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array([not t for t in left.column("train").to_pylist()], pa.bool_()),
-            "n_tokens": pa.array(many[0], pa.int64()), "n_known": pa.array(many[1], pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()),
-            "base_score": pa.array(many[2], pa.float64()), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0)),
+            "n_tokens": pa.array(many[0], pa.int64()), "n_known": pa.array(many[1], pa.int64()),
+            "logs": pa.array(many[2], pa.float64()), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0)),
         })
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(run, schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+    scored = docs.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(run, schema)
+    unit = F.log10(totals.select(F.col("n") + F.col("v") + 1).scalar().cast("double"))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.coalesce(totals.select("n").scalar(), F.lit(0)).alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score",
+    )
 
 
 def chunked(df: DataFrame) -> DataFrame:

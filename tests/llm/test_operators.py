@@ -379,10 +379,10 @@ def test_contexts_grow_with_the_corpus(spark):
     trees = []
     for copies in (1, 400):
         docs = spark.createDataFrame([(0, rare, True), *[(0, common, True)] * copies], "chunk long, text string, train boolean").coalesce(1)
-        rows = suffixtree.counted(docs).localCheckpoint()
+        rows = suffixtree.counted_grams(docs).cache()
         trees.append(suffixtree.learn(rows))
         found: dict = {}
-        for r in rows.where("gram IS NOT NULL").collect():
+        for r in rows.collect():
             window = r["gram"].to_bytes(suffixtree.DEPTH + 1, "big")
             for size in range(suffixtree.DEPTH + 1):
                 context = window[suffixtree.DEPTH - size : -1]
@@ -392,3 +392,38 @@ def test_contexts_grow_with_the_corpus(spark):
         assert trees[-1].contexts == whole.contexts and (trees[-1].counts == whole.counts).all()
     kept = {c for c in trees[1].contexts if b"q" in c or b"x" in c}
     assert kept and {c for c in trees[0].contexts if b"q" in c or b"x" in c} <= kept
+
+
+def test_model_score_equals_brute_force(spark, sf_dir):
+    """Contexts, divergence tests, smoothing and suffix search written out over strings of bytes."""
+    clean = lambda t: re.sub(rb"[\x20\x09-\x0d]+", b" ", (t or "").encode()).strip(b" ").replace(b"\0", b"\1")
+    found = {i: re.sub(rb"[A-Z]", lambda m: m[0].lower(), clean(t)) + b"\n" for i, t in texts(spark, sf_dir).items()}
+    depth, after = suffixtree.DEPTH, {}
+    for i, text in found.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for at in range(len(text)):
+                before = (b"\n" + text)[max(0, at + 1 - depth) : at + 1]
+                for k in range(len(before) + 1):
+                    after.setdefault(before[len(before) - k :], Counter())[text[at]] += 1
+    tree = {}
+
+    def state(context):
+        return next(context[k:] for k in range(len(context) + 1) if context[k:] in tree)
+
+    def p(context, symbol):
+        n = after[context]
+        smooth = suffixtree.SMOOTH if context else 256 * suffixtree.SMOOTH_ROOT
+        return (n[symbol] + smooth * (p(state(context[1:]), symbol) if context else 1 / 256)) / (n.total() + smooth)
+
+    tree[b""] = True
+    for context in sorted(after, key=lambda c: (len(c), c)):
+        n, total = after[context], after[context].total()
+        if context and total >= suffixtree.LEAST_COUNT:
+            kl = sum(k / total * math.log(k / total / p(state(context[1:]), s)) for s, k in n.items())
+            if kl >= suffixtree.LEAST_KL and 2 * total * kl >= suffixtree.LEAST_G:
+                tree[context] = True
+    for r in suffixtree.query(spark, sf_dir).collect():
+        text = found[r["doc_id"]]
+        if len(text) < 3000:
+            wanted = sum(math.log10(p(state((b"\n" + text)[max(0, at + 1 - depth) : at + 1]), text[at])) for at in range(len(text)))
+            assert r["score"] == pytest.approx(wanted, rel=1e-9)
