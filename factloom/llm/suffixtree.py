@@ -179,6 +179,7 @@ class Tables:
     logs: Lookup
     parent: np.ndarray
     unseen: np.ndarray
+    cache: object = None
 
 
 @dataclass
@@ -314,28 +315,63 @@ def learn(rows: DataFrame) -> Tree:
     return _tree(found, kept)
 
 
+class _Cache:
+    """Values of the windows met last, one for each slot; a process of a task holds one."""
+
+    BITS = 20
+
+    def __init__(self):
+        self.keys = np.full(1 << self.BITS, -1, dtype=np.int64)
+        self.values = np.zeros(1 << self.BITS)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).view(np.int64)
+
+
 def log_probability(streams: list[bytes], tables: Tables) -> np.ndarray:
     """log10 probability of each stream of symbols."""
+    if not streams:
+        return np.zeros(0)
+    raw = np.frombuffer(b"\0" * tables.depth + END + b"".join(streams), dtype=np.uint8)
+    key = np.zeros(len(raw) - tables.depth - 1, dtype=np.int64)
+    for k in range(tables.depth + 1):  # a symbol and what stands before it
+        key <<= 8
+        key |= raw[k + 1 : k + 1 + len(key)]
+    if tables.cache is None:
+        tables.cache = _Cache()
+    cache = tables.cache
+    slot = cache.slots(key)
+    values = cache.values[slot]
+    missed = np.flatnonzero(cache.keys[slot] != key)
+    if len(missed):
+        new, where = np.unique(key[missed], return_inverse=True)
+        found = _log_of(new, tables)
+        values[missed] = found[where]
+        at, first = np.unique(cache.slots(new), return_index=True)
+        cache.keys[at], cache.values[at] = new[first], found[first]
+    ends = np.cumsum([len(s) for s in streams])
+    return np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
+
+
+def _log_of(key: np.ndarray, tables: Tables) -> np.ndarray:
+    """log10 probability of the last byte of each window after those before it."""
     # a byte 0 is in no context, and none reaches over an end mark
-    raw = np.frombuffer(b"\0" * tables.depth + END + b"".join(streams), dtype=np.uint8).astype(np.int64)
-    first = tables.depth + 1
-    live, at = np.arange(len(raw) - first), np.zeros(len(raw) - first, dtype=np.int64)
+    live, at = np.arange(len(key)), np.zeros(len(key), dtype=np.int64)
     node = at.copy()
     for k in range(1, tables.depth + 1):
-        child, known = tables.children.get(at * 256 + raw[first - k + live])
+        child, known = tables.children.get(at * 256 + (key[live] >> 8 * k & 255))
         live, at = live[known], child[known]
         node[live] = at
-    state = tables.state[node]
-    values, left = np.zeros(len(state)), np.arange(len(state))
+    state, symbol = tables.state[node], key & 255
+    values, left = np.zeros(len(key)), np.arange(len(key))
     while len(left):
-        logs, known = tables.logs.get(state[left] * 256 + raw[first + left])
+        logs, known = tables.logs.get(state[left] * 256 + symbol[left])
         values[left[known]] += logs[known]
         left = left[~known]
         values[left] += tables.unseen[state[left]]
         state[left] = tables.parent[state[left]]
         left = left[state[left] >= 0]
-    ends = np.cumsum([len(s) for s in streams])
-    return np.add.reduceat(values, np.concatenate([[0], ends[:-1]])) if len(streams) else np.zeros(0)
+    return values
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -346,7 +382,9 @@ def score(docs: DataFrame) -> DataFrame:
     words = counted_words(docs).repartition("word")
     c = F.sum("n").over(W.partitionBy("word"))
     needed = words.select("chunk", "word", c.alias("c"))
-    totals = words.groupBy("word").agg(F.sum("n").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"))
+    # the least chunk is asked for so that both read the same columns, hence the same shuffled rows
+    sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("chunk").alias("least"))
+    totals = sums.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if((F.col("c") > 0) & F.col("least").isNotNull()).alias("v"))
     sent = spark.sparkContext.broadcast(tree.tables())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -373,9 +411,11 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
     scored = docs.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(run, schema)
-    unit = F.log10(totals.select(F.col("n") + F.col("v") + 1).scalar().cast("double"))
+    # one subquery of one row, so that the words are counted once
+    scored = scored.withColumn("of_all", totals.select(F.struct("n", "v")).scalar())
+    unit = F.log10((F.col("of_all.n") + F.col("of_all.v") + 1).cast("double"))
     return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.coalesce(totals.select("n").scalar(), F.lit(0)).alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.col("of_all.n").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * unit).alias("base_score"), "score",
     )
 
