@@ -17,7 +17,7 @@ words at least ``OVERLAP`` stand in the document, and of the answer's too; a par
 than five words is one run.
 
 The index is a broadcast of items whose words are bounded by ``BLOCK_WORDS``; more items are
-taken in blocks of that size, each against all documents.
+taken in blocks of that size, each against all documents, with the statistics of all items.
 
 Cases: null and empty texts match nothing, nor do items without words; an item given twice
 matches under both ids; long texts and long items are taken whole, items longer than a
@@ -31,6 +31,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,24 @@ def parts_of(text: str | None) -> tuple[list[str], list[str]]:
     return [w for p in pieces[:-1] for w in words_of(p)], words_of(pieces[-1])
 
 
+#: Items, words of one on average, and items that hold each word.
+Statistics = tuple[int, float, Mapping[str, int]]
+
+
+def statistics_of(texts: Iterable[list[str]]) -> Statistics:
+    """Of all items with a word, from their words."""
+    n, words, spread = 0, 0, Counter()
+    for t in texts:
+        if t:
+            n, words = n + 1, words + len(t)
+            spread.update(set(t))
+    return n, words / max(1, n), spread
+
+
 class Index:
     """Block-max BM25 index of test items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         rows = [(i, t) for i, t in items if words_of(t)]
         self.ids = [i for i, _ in rows]
         texts = [words_of(t) for _, t in rows]
@@ -87,11 +102,9 @@ class Index:
         for c in counts:
             for w in c:
                 self.terms.setdefault(w, len(self.terms))
-        spread = Counter(w for c in counts for w in c)
-        mean = sum(map(len, texts)) / max(1, len(texts))
-        items_n = len(texts)
+        items_n, mean, spread = statistics or statistics_of(texts)
         #: The item of each entry: the whole items first, then the parts of those with two.
-        self.of = list(range(items_n))
+        self.of = list(range(len(texts)))
         for item, (_, t) in enumerate(rows):
             for part in (p for p in parts_of(t) if p and len(self.parts[item]) > 1):
                 self.of.append(item)
@@ -100,7 +113,7 @@ class Index:
         n = len(texts)
         self.blocks = max(1, -(-n // POSTINGS))
         self.postings: list[dict[int, list[tuple[int, float]]]] = [defaultdict(list) for _ in self.terms]
-        self.most = np.zeros((len(self.terms), self.blocks), dtype=np.float32)
+        self.most = np.zeros((len(self.terms), self.blocks), dtype=np.float64)
         own = np.zeros(n)
         weights: list[dict[int, float]] = [{} for _ in texts]
         for item, c in enumerate(counts):
@@ -175,7 +188,7 @@ class Index:
         for text, passage, block in self.hopeful(texts):
             words = texts[text][passage * STEP : passage * STEP + PASSAGE]
             terms = sorted({self.terms[w] for w in words if w in self.terms})
-            if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-3:
+            if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-6:
                 found[text].update(self.of[entry] for entry in self.walk(terms, block))
         return found
 
@@ -240,18 +253,21 @@ class Index:
         return out
 
 
-def blocks_of(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of a bounded number of words, in the order of their ids."""
+def blocks_of(items: DataFrame) -> list[tuple[list[tuple[int, str]], Statistics]]:
+    """Items in blocks of a bounded number of words, in the order of their ids; with each, the
+    statistics of all items for its words, so that scores don't depend on the blocks."""
     blocks: list[list[tuple[int, str]]] = [[]]
     size = 0
-    for r in items.select("item_id", "text").orderBy("item_id").toLocalIterator():
+    rows = items.select("item_id", "text").orderBy(*items.select("item_id", "text").columns)
+    n_all, mean, spread = statistics_of(words_of(r["text"]) for r in rows.toLocalIterator())
+    for r in rows.toLocalIterator():
         n = len(words_of(r["text"]))
         if size and size + n > BLOCK_WORDS:
             blocks.append([])
             size = 0
         blocks[-1].append((r["item_id"], r["text"]))
         size += n
-    return blocks
+    return [(block, (n_all, mean, {w: spread[w] for _, t in block for w in words_of(t)})) for block in blocks]
 
 
 def matches(df: DataFrame, items: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -285,16 +301,16 @@ def without(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
-_INDEX: dict[int, tuple[list, Index]] = {}
+_INDEX: dict[int, tuple[tuple, Index]] = {}
 
 
-def _index(items: list[tuple[int, str]]) -> Index:
+def _index(block: tuple[list[tuple[int, str]], Statistics]) -> Index:
     """The index of a block of items, built once in a process."""
-    known = _INDEX.get(id(items))
+    known = _INDEX.get(id(block))
     if known is None:
         if len(_INDEX) > 1:
             _INDEX.clear()
-        known = _INDEX[id(items)] = (items, Index(items))
+        known = _INDEX[id(block)] = (block, Index(*block))
     return known[1]
 
 

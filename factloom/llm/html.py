@@ -5,8 +5,9 @@ elements is a line; each line knows its tags, its linked characters and the land
 it.  Lines inside menus, footers, sidebars, notices, adverts, forms, scripts and comments are
 furniture, by element, role, or words in ``class`` and ``id``.  Of the others, the characters
 per tag are smoothed by a Gaussian over neighbouring lines, and a threshold between two
-clusters tells content from the rest.  Regions of content are closed over short gaps.  Where a
-page marks its article, the marked lines that hold a region are taken whole.
+clusters tells content from the rest.  Regions of content are closed over short gaps,
+and within one container over all unlinked lines up to its end.  Where a page marks articles,
+those that hold a region are taken whole, as nothing of an article may be dropped.
 
 Cases: null and empty pages, and pages of furniture alone, give the empty text; unclosed
 elements end with their container; long pages are read whole; repeated rows are treated
@@ -41,6 +42,7 @@ _BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section "
     "select summary table tbody tfoot thead title tr ul".split()
 )
+_CONTAINERS = frozenset("body article main section div td center blockquote".split())
 _SPACES = frozenset("br td th".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button option datalist map".split())
@@ -83,6 +85,7 @@ class Line:
     tags: int = 0
     linked: int = 0
     region: int = 0
+    container: int = 0
     kind: str = "body"
     heading: bool = False
     text: str = ""
@@ -99,11 +102,11 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, str, int, str]] = []  # element, state, region, kind
+        self.open: list[tuple[str, str, int, str, int]] = []  # element, state, region, kind, container
+        self.container = self.containers = 0
         self.state, self.region, self.kind = "", 0, "body"
         self.regions, self.links = 0, 0
         self.now = Line()
-        self.formed: list[Line] = []
 
     def border(self) -> None:
         """End the line."""
@@ -111,9 +114,10 @@ class _Page(HTMLParser):
         if line.parts:
             line.close()
             if line.size:
-                (self.formed if self.state == "form" else self.lines).append(line)
+                self.lines.append(line)
             line = self.now = Line()
         line.tags = line.linked = 0
+        line.container = self.container
         line.region, line.kind, line.heading = self.region, self.kind, bool(self.open) and self.open[-1][0] in _HEADINGS
 
     def updatepos(self, i: int, j: int) -> int:
@@ -175,7 +179,10 @@ class _Page(HTMLParser):
             self.pop_implied(tag)
         self.now.tags += 1
         state, marks_article = self.judged(tag, attrs)
-        kept = (tag, self.state, self.region, self.kind)
+        kept = (tag, self.state, self.region, self.kind, self.container)
+        if tag in _CONTAINERS:
+            self.containers += 1
+            self.container = self.now.container = self.containers
         if state != self.state or marks_article:
             if not block:
                 self.border()
@@ -207,15 +214,16 @@ class _Page(HTMLParser):
 
     def leave(self, k: int) -> None:
         """Close the element at place ``k`` and all within it."""
-        tag, state, region, kind = self.open[k]
+        tag, state, region, kind, container = self.open[k]
         inner = self.open[k:]
         if tag in _BLOCKS or state != self.state or len(inner) > 1 and any(e[0] in _BLOCKS for e in inner):
             self.border()
         if self.links:
             self.links -= sum(e[0] == "a" for e in inner)
         del self.open[k:]
-        self.state, self.region, self.kind = state, region, kind
+        self.state, self.region, self.kind, self.container = state, region, kind, container
         if not self.now.parts:
+            self.now.container = container
             self.now.region, self.now.kind, self.now.heading = region, kind, False
 
     def handle_endtag(self, tag: str) -> None:
@@ -230,19 +238,19 @@ class _Page(HTMLParser):
             self.border()
 
     def handle_data(self, data: str) -> None:
-        if not self.state or self.state == "form" or self.state == "heading" and any(e[0] in _HEADINGS for e in self.open):
+        if not self.state or self.state == "heading" and any(e[0] in _HEADINGS for e in self.open):
             self.now.parts.append(data)
             if self.links:
                 self.now.linked += len(data.strip())
 
 
 def lines_of(html: str) -> list[Line]:
-    """Lines of a page that aren't furniture; of a page that is one form, that form's."""
+    """Lines of a page that aren't furniture."""
     page = _Page()
     page.feed(html)
     page.close()
     page.border()
-    return page.lines or page.formed
+    return page.lines
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -286,15 +294,21 @@ def chosen(lines: list[Line]) -> list[bool]:
             continue
         # articles with a content line, all of them if none has one; an article is taken whole
         found = {x.region for x, c in zip(lines, content) if c and x.region in marked} or marked
-        return [x.region in found and not (x.linked > LINKED * x.size and not x.heading and x.tags > 3) for x in lines]
+        return [x.region in found for x in lines]
     if not any(content):
         best = max(range(len(lines)), key=lambda i: (lines[i].size - lines[i].linked, -i))
         content[best] = lines[best].size > lines[best].linked
     places = [i for i, c in enumerate(content) if c]
+    plain = lambda x: x.linked <= LINKED * x.size
     for a, b in zip(places, places[1:]):
-        if b - a - 1 <= GAP:
+        # within one container any number of unlinked lines belongs to the region
+        if b - a - 1 <= GAP or lines[a].container == lines[b].container:
             for i in range(a + 1, b):
-                content[i] = lines[i].linked <= LINKED * lines[i].size
+                content[i] = plain(lines[i])
+    for i in places:  # a region reaches to the end of its container
+        while i + 1 < len(lines) and not content[i + 1] and lines[i + 1].container == lines[i].container and plain(lines[i + 1]):
+            i += 1
+            content[i] = True
     for i in places:  # headings belong to what follows them
         while i and lines[i - 1].heading and not content[i - 1]:
             i -= 1

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import fresh, table
 
 NAME = "op4_pii"
 LEAST = 0.6
@@ -133,23 +133,24 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``pii``: spans (kind, start, end, score), by kind as in ``KINDS``, then start."""
-    passed = [F.col(c) for c in df.columns if c != "pii"]
-    df = df.select(*passed, F.col(text).alias("__text"))
-    df = df.select("*", *[f(k, F.col("__text")).alias(f"__{n}_{k}") for k in KINDS for n, f in (("gaps", _gaps), ("found", _matches))])
-    df = df.select("*", *[_spans(k, F.col(f"__gaps_{k}"), F.col(f"__found_{k}")).alias(f"__spans_{k}") for k in KINDS])
-    return df.select(*passed, F.concat(*[F.coalesce(f"__spans_{k}", F.array()) for k in KINDS]).alias("pii"))
+    passed = [c for c in df.columns if c != "pii"]
+    # the rows stand in one struct, so that working columns never clash with theirs
+    df = df.select(F.struct(*passed).alias("row"), F.col(text).alias("text"))
+    df = df.select("*", *[f(k, F.col("text")).alias(f"{n}_{k}") for k in KINDS for n, f in (("gaps", _gaps), ("found", _matches))])
+    df = df.select("*", *[_spans(k, F.col(f"gaps_{k}"), F.col(f"found_{k}")).alias(f"spans_{k}") for k in KINDS])
+    return df.select("row.*", F.concat(*[F.coalesce(f"spans_{k}", F.array()) for k in KINDS]).alias("pii"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """Put a placeholder in the text for each span, kind after kind in the order of ``KINDS``."""
+    gaps, found = fresh(df, "__gaps"), fresh(df, "__found")
     for kind in KINDS:
-        df = df.withColumns({"__gaps": _gaps(kind, F.col(text)), "__found": _matches(kind, F.col(text))})
-        df = df.withColumn(text, F.when(F.size("__found") > 0, F.array_join(_pieces(kind), "")).otherwise(F.col(text))).drop("__gaps", "__found")
+        df = df.withColumns({gaps: _gaps(kind, F.col(text)), found: _matches(kind, F.col(text))})
+        df = df.withColumn(text, F.when(F.size(found) > 0, F.array_join(_pieces(kind, F.col(gaps), F.col(found)), "")).otherwise(F.col(text))).drop(gaps, found)
     return df
 
 
-def _pieces(kind: str) -> Column:
-    gaps, found = F.col("__gaps"), F.col("__found")
+def _pieces(kind: str, gaps: Column, found: Column) -> Column:
     put = F.transform(found, lambda m, i: F.when(scored(kind, m, F.get(gaps, i)) >= LEAST, PLACEHOLDERS[kind]).otherwise(m))
     return F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(put, i), F.lit(""))))
 

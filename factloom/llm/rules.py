@@ -3,9 +3,10 @@
 Lines with a word are a sequence; the field scores each line's features and each step
 between two labels, and Viterbi decoding gives the best labels of the whole sequence.  The
 share of words in content lines decides on the document.  The field is trained here by
-gradient ascent on the likelihood of a bounded sample, whose lines get their labels from
-the quality label of their document; a line of a poor document that looks like the lines of
-good ones costs little, as the likelihood weighs all lines together.
+gradient ascent on the likelihood of a bounded sample.  Its lines take the quality label of
+their document at first, from which a field without steps is fitted; a line that this one
+holds for the other label by odds of ``ODDS`` changes sides, so that good texts have
+boilerplate lines and poor ones content.  The field proper is fitted to the lines' labels.
 
 Beside it stand fixed counts: words, symbols, repeated lines, words in repeated windows.
 
@@ -16,6 +17,8 @@ kinds every line is content; an empty table gives an empty one; other columns do
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ SAMPLE, ROUNDS, RATE, RIDGE = 3000, 150, 0.5, 1e-3
 SHARE = 0.5
 #: Lines of a training sequence.
 PART = 40
+#: Odds from which a line doesn't take the label of its document.
+ODDS = 3.0
 _N = 12
 
 
@@ -139,46 +144,69 @@ class Field:
 
 
 def train(sequences: list[np.ndarray], labels: list[int]) -> Field:
-    """Likelihood ascent by forward and backward sums over all sequences at once."""
+    """A field for lines, from the labels of their documents."""
     if len(set(labels)) < 2:
         return Field(np.array([[0.0] * _N, [1.0] + [0.0] * (_N - 1)]), np.zeros((2, 2)))
+    # documents of either label weigh the same in all, so do their lines
+    lines = [sum(len(s) for s, y in zip(sequences, labels) if y == label) for label in (0, 1)]
+    weigh = [0.5 / lines[y] for y in labels]
+    alone = ascend(sequences, [np.full(len(s), y) for s, y in zip(sequences, labels)], weigh, stepping=False)
+    return ascend(sequences, line_labels(sequences, labels, alone), weigh)
+
+
+def line_labels(sequences: list[np.ndarray], labels: list[int], alone: Field) -> list[np.ndarray]:
+    """Labels of lines: their document's, unless a field without steps is sure of the other."""
+    found = []
+    for rows, y in zip(sequences, labels):
+        lean = rows @ (alone.weights[1] - alone.weights[0])
+        found.append(np.where(lean >= math.log(ODDS), 1, np.where(lean <= -math.log(ODDS), 0, y)))
+    return found
+
+
+def ascend(sequences: list[np.ndarray], labels: list[np.ndarray], weigh: list[float], stepping: bool = True, rounds: int = ROUNDS) -> Field:
+    """Likelihood ascent over all sequences at once; without ``stepping`` steps stay at zero."""
     most = max(map(len, sequences))
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    x = np.zeros((len(order), most, _N))
-    size, y = np.array([len(sequences[i]) for i in order]), np.array([labels[i] for i in order])
+    x, y = np.zeros((len(order), most, _N)), np.zeros((len(order), most), dtype=np.int64)
+    size, weigh = np.array([len(sequences[i]) for i in order]), np.array([weigh[i] for i in order])
     for k, i in enumerate(order):
-        x[k, : len(sequences[i])] = sequences[i]
-    # documents of either label weigh the same in all, so do their lines
-    weigh = np.where(y == 1, 0.5 / (size * (y == 1)).sum(), 0.5 / (size * (y == 0)).sum())
+        x[k, : len(sequences[i])], y[k, : len(sequences[i])] = sequences[i], labels[i]
     weights, steps = np.zeros((2, _N)), np.zeros((2, 2))
-    open_at = [int((size > t).sum()) for t in range(most)]
     speed_w, speed_s = np.zeros_like(weights), np.zeros_like(steps)
-    for _ in range(ROUNDS):
-        state = x @ weights.T
-        ahead, behind = np.zeros_like(state), np.zeros_like(state)
-        ahead[:, 0] = state[:, 0]
-        for t in range(1, most):
-            k = open_at[t]
-            ahead[:k, t] = np.logaddexp(ahead[:k, t - 1, 0, None] + steps[0], ahead[:k, t - 1, 1, None] + steps[1]) + state[:k, t]
-        for t in range(most - 2, -1, -1):
-            k = open_at[t + 1]
-            after = behind[:k, t + 1] + state[:k, t + 1]
-            behind[:k, t] = np.logaddexp(after[:, 0, None] + steps[:, 0], after[:, 1, None] + steps[:, 1])
-        total = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
-        mask = np.arange(most) < size[:, None]
-        p = np.exp(ahead + behind - total[:, None, None]) * mask[:, :, None]
-        true = np.stack([(y == 0), (y == 1)], axis=1)[:, None, :] * mask[:, :, None]
-        grad_w = np.einsum("btl,btf,b->lf", true - p, x, weigh) - RIDGE * weights
-        grad_s = -RIDGE * steps
-        for t in range(1, most):
-            k = open_at[t]
-            pair = np.exp(ahead[:k, t - 1, :, None] + steps + (state[:k, t] + behind[:k, t])[:, None, :] - total[:k, None, None])
-            grad_s = grad_s + np.einsum("bij,b->ij", (true[:k, t - 1, :, None] & true[:k, t, None, :]) - pair, weigh[:k])
-        speed_w, speed_s = 0.9 * speed_w + grad_w, 0.9 * speed_s + grad_s
+    for _ in range(rounds):
+        grad_w, grad_s = gradient(x, y, size, weigh, weights, steps)
+        speed_w, speed_s = 0.9 * speed_w + grad_w - RIDGE * weights, 0.9 * speed_s + (grad_s - RIDGE * steps) * stepping
         weights, steps = weights + RATE * speed_w, steps + RATE * speed_s
     return Field(weights, steps)
 
 
+def gradient(x: np.ndarray, y: np.ndarray, size: np.ndarray, weigh: np.ndarray, weights: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the weighted log likelihood, by forward and backward sums; the longest sequence comes first."""
+    most = x.shape[1]
+    open_at = [int((size > t).sum()) for t in range(most)]
+    state = x @ weights.T
+    ahead, behind = np.zeros_like(state), np.zeros_like(state)
+    ahead[:, 0] = state[:, 0]
+    for t in range(1, most):
+        k = open_at[t]
+        ahead[:k, t] = np.logaddexp(ahead[:k, t - 1, 0, None] + steps[0], ahead[:k, t - 1, 1, None] + steps[1]) + state[:k, t]
+    for t in range(most - 2, -1, -1):
+        k = open_at[t + 1]
+        after = behind[:k, t + 1] + state[:k, t + 1]
+        behind[:k, t] = np.logaddexp(after[:, 0, None] + steps[:, 0], after[:, 1, None] + steps[:, 1])
+    total = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
+    mask = np.arange(most) < size[:, None]
+    p = np.exp(ahead + behind - total[:, None, None]) * mask[:, :, None]
+    true = np.stack([(y == 0) & mask, (y == 1) & mask], axis=2)
+    grad_w = np.einsum("btl,btf,b->lf", true - p, x, weigh)
+    grad_s = np.zeros_like(steps)
+    for t in range(1, most):
+        k = open_at[t]
+        pair = np.exp(ahead[:k, t - 1, :, None] + steps + (state[:k, t] + behind[:k, t])[:, None, :] - total[:k, None, None])
+        grad_s = grad_s + np.einsum("bij,b->ij", (true[:k, t - 1, :, None] & true[:k, t, None, :]) - pair, weigh[:k])
+    return grad_w, grad_s
+
+
 def fit(sample: DataFrame) -> Field:
     """Train on a bounded sample (doc_id, text, label); long sequences are cut into parts of ``PART`` lines."""
     measured = map_rows(sample, ["doc_id", "label"], "parts array<array<array<double>>>", ["text"], lambda: lambda t: (_parts(t),))

@@ -17,7 +17,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, t
 
     Ids whose crc32 modulo 5 is 0 are held out.  A repeated label counts once, as the larger
     one; null labels don't count.  The result is written to the shared folder, as it is read
-    several times."""
+    several times.  Of several texts of one id, the one with the smallest hash is taken."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -28,4 +28,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST, t
     )
     # the sample's rows are bounded by ``most`` numbers, so it may be broadcast
     found = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return written(found.dropDuplicates(["doc_id"]).repartition(24), "sample")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("of"))
+    return written(one.select("doc_id", "of.text", "of.label").repartition(24), "sample")

@@ -95,14 +95,16 @@ def links(prints: DataFrame) -> DataFrame:
     return short.unionByName(starred)
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``print`` and ``component_id`` (smallest id reachable) of each row."""
-    prints = written(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "prints")
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **more: Column) -> DataFrame:
+    """``doc_id``, ``print``, ``component_id`` (smallest id reachable) and ``root`` (smallest
+    print reachable, which rows without an id have too) of each row, with more columns of it."""
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[c.alias(name) for name, c in more.items()])
+    prints = written(fingerprints(rows, keep=["doc_id", *more]), "prints")
     least = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("print")))
     of_root = least.join(roots, least["print"] == roots["node"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = roots.join(of_root, "root").select(F.col("node").alias("print"), "component_id")
-    named = written(least.join(linked, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    linked = roots.join(of_root, "root").select(F.col("node").alias("print"), "component_id", "root")
+    named = written(least.join(linked, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "print").alias("root")), "classes")
     return prints.join(named, "print")
 
 

@@ -6,7 +6,8 @@ hash buckets.  Scoring runs in DataFrame functions alone.
 
 Cases: a null URL or one without ``://`` has empty host and path, no rule, and scores by the
 intercept; empty strings, ports, user names and long URLs are taken as they come; repeated
-rows are judged alike; an empty table gives an empty one; other columns are kept apart.
+rows are judged alike; an empty table gives an empty one; columns named
+``host``, ``path``, ``rule``, ``score`` or ``verdict`` are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def score(host: Column, path: Column) -> Column:
 def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``score`` and ``verdict`` for each row."""
     host, path = split_url(F.col(url))
-    df = df.withColumns({"host": host, "path": path})
+    df = df.withColumns({"host": host, "path": path})  # both read the URL as it came
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     df = df.withColumns({"rule": rule, "score": F.round(score(F.col("host"), F.col("path")), 6)})
     return df.withColumn("verdict", F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")))

@@ -24,6 +24,56 @@ def texts(spark, sf_dir):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
 
 
+def test_columns_of_clashing_names(spark, odd):
+    """The general interfaces pass what they don't add or replace."""
+    df = odd.withColumns({"url": odd["text"], "html": odd["text"], "__gaps": odd["doc_id"], "__found": odd["doc_id"], "host": odd["doc_id"]})
+    for made, added in (
+        (pii.find(df), {"pii"}), (urls.judge(df), {"host", "path", "rule", "score", "verdict"}), (html.extract(df), {"text", "n_chars"}),
+        (bpe.encode(df, bpe.default_tokenizer()), {"ids", "n_tokens", "decoded"}), (pii.redact(df), {"text"}),
+    ):
+        assert set(df.columns) <= set(made.columns) | added and len(made.columns) == len(set(made.columns))
+        rest = [c for c in df.columns if c not in added]
+        plain = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+        assert plain(made.select(*rest).collect()) == plain(df.select(*rest).collect())
+
+
+def test_scores_do_not_depend_on_blocks(spark, sf_dir, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = decontaminate.Index(*decontaminate.blocks_of(items)[0])
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    blocks = decontaminate.blocks_of(items)
+    assert len(blocks) > 3
+    least = {i: t for i, t in zip([whole.ids[i] for i in whole.of], whole.threshold)}
+    for block in blocks:
+        part = decontaminate.Index(*block)
+        assert {part.ids[i]: t for i, t in zip(part.of, part.threshold)} == {i: pytest.approx(least[i]) for i in part.ids}
+    found = decontaminate.matches(docs.select("doc_id", "text"), items, ["doc_id"]).collect()
+    monkeypatch.undo()
+    once = decontaminate.matches(docs.select("doc_id", "text"), items, ["doc_id"]).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, once)) != []
+
+
+@pytest.mark.parametrize("name", ["op8_urls", "op9_html", "op1_decontaminate", "op2_quality", "op7_toxicity", "op5_rules"])
+def test_odd_small_tables(name, spark, tables, tmp_path):
+    """Nulls, repeats, ties and further columns in the tables beside ``documents``."""
+    import shutil
+
+    shutil.copytree(f"{tables['odd']}/documents.parquet", tmp_path / "documents.parquet")
+    clash = "1 AS score, 'x' AS host, 'y' AS n_chars"
+    for table, rows in {
+        "pages": "SELECT * FROM VALUES (1L, null, null), (null, '', ''), (2L, 'no scheme', '<p>x'), (2L, 'http://a.com/en/', '<p>x') AS t(page_id, url, html)",
+        "benchmark": "SELECT * FROM VALUES (1L, null), (null, 'the the the'), (1L, 'the the the'), (1L, 'the the the'), (3L, '') AS t(item_id, text)",
+        "labels": "SELECT * FROM VALUES (0L, null, null), (null, 1, 1), (1L, 1, 0), (1L, 1, 0), (1L, 0, 1), (99L, 1, 1) AS t(doc_id, quality, toxic)",
+    }.items():
+        spark.sql(f"SELECT *, {clash} FROM ({rows})").write.parquet(str(tmp_path / f"{table}.parquet"))
+    made = QUERIES[name](spark, str(tmp_path)).collect()
+    if name == "op1_decontaminate":
+        assert {r["item_id"] for r in made} == {None, 1}
+    else:
+        assert len(made) == (4 if name in ("op8_urls", "op9_html") else spark.read.parquet(f"{tables['odd']}/documents.parquet").count())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 @pytest.mark.parametrize("kind", ["odd", "empty"])
 def test_odd_and_empty_tables(name, kind, spark, tables):
@@ -229,6 +279,60 @@ def test_counts():
     assert rules.counts(None) == (0, 0, 0, 0, 0)
 
 
+def _paths(n):
+    return [[i >> k & 1 for k in range(n)] for i in range(1 << n)]
+
+
+def _weight(rows, labels, weights, steps):
+    return sum(weights[y] @ x for x, y in zip(rows, labels)) + sum(steps[a, b] for a, b in zip(labels, labels[1:]))
+
+
+def test_field_equals_enumeration():
+    """Viterbi against all labellings; the gradient against differences of the enumerated likelihood."""
+    rng = np.random.default_rng(3)
+    sizes, n = [5, 3, 1], rules._N
+    x, y = np.zeros((3, 5, n)), np.zeros((3, 5), dtype=np.int64)
+    for k, size in enumerate(sizes):
+        x[k, :size], y[k, :size] = rng.normal(size=(size, n)), rng.integers(0, 2, size)
+    weigh, weights, steps = np.array([0.2, 0.5, 0.3]), rng.normal(size=(2, n)), rng.normal(size=(2, 2))
+    for k, size in enumerate(sizes):
+        best = max(_paths(size), key=lambda p: _weight(x[k, :size], p, weights, steps))
+        assert rules.Field(weights, steps).viterbi(x[k, :size]) == best
+
+    def likelihood(weights, steps):
+        return sum(w * (_weight(x[k, :s], y[k, :s], weights, steps) - np.logaddexp.reduce([_weight(x[k, :s], p, weights, steps) for p in _paths(s)])) for k, (s, w) in enumerate(zip(sizes, weigh)))
+
+    made = rules.gradient(x, y, np.array(sizes), weigh, weights, steps)
+    for which, values in enumerate((weights, steps)):
+        for at in np.ndindex(*values.shape):
+            moved = [[v.copy() for v in (weights, steps)] for _ in range(2)]
+            moved[0][which][at] += 1e-5
+            moved[1][which][at] -= 1e-5
+            assert made[which][at] == pytest.approx((likelihood(*moved[0]) - likelihood(*moved[1])) / 2e-5, abs=1e-6)
+
+
+def test_lines_of_one_text_may_differ(spark, sf_dir):
+    """The field decides by lines: shares stand strictly between 0 and 1, and good texts are kept."""
+    sf = "/root/testdata/sf0.01"
+    rows = rules.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").collect()
+    assert sum(0 < r["content_share"] < 1 for r in rows) > 20
+    judged = [r for r in rows if r["quality"] is not None and not r["base_failed"]]
+    assert sum(r["kept"] == bool(r["quality"]) for r in judged) / len(judged) > 0.97
+    for r in rows:
+        words = (r["n_words"], r["n_repeat_words"])
+        assert r["base_failed"] == (words[0] < 20 or 100 * words[1] > 30 * words[0]) and r["kept"] == (not r["base_failed"] and r["content_share"] >= rules.SHARE)
+    found = texts(spark, sf)
+    for r in rows[:200]:
+        text = found[r["doc_id"]] or ""
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        seen = Counter(windows)
+        repeated = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(8)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        wanted = (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == wanted
+
+
 # 6
 
 
@@ -315,6 +419,9 @@ PROSE = "This is a long paragraph about something that is interesting and has ma
         ("<article><h1>A&amp;B</h1><p>one&nbsp; two<br>three<p>four<form>mail</form><aside>more</aside></article><footer>f</footer>", "A&B\n\none two three\n\nfour"),
         ('<div class="ad">Buy<article><p>Words here.</p></article><div class="related"><article><p>Other</p></article></div></div>', "Words here."),
         ("<script>var a='</p>';</script><style>p{}</style><main><p>x</main>", "x"),
+        ("<form>Enter your mail<input><p>and password</form>", ""),
+        (f"<article><p>{PROSE}</p><ul><li><a href=a>one</a><a href=b>two</a></ul></article>", f"{PROSE}\n\nonetwo"),
+        (f"<div><p>{PROSE}</p>" + "<ul>" + "<li>ab" * 7 + f"</ul><p>{PROSE}</p><p>end</div>", "\n\n".join([PROSE, *["ab"] * 7, PROSE, "end"])),
     ],
 )
 def test_pages(page, text):
