@@ -4,8 +4,9 @@ Each stage takes the session, the rows that the stage before kept, and the folde
 tables, and returns a DataFrame; all but the last return the columns of ``documents``.
 Clean rows pass unchanged through the first three stages.
 
-Cases: null texts count as empty; rows without a ``doc_id`` are judged by their text alone,
-and of equal ones among them one stays; of repeated rows one stays; an empty table gives an
+Cases: null texts count as empty; rows without a ``doc_id`` are judged by their text alone and
+give way to near copies with one; of repeated rows one stays, while different texts under one
+id are different documents; an empty table gives an
 empty one with the same columns; columns beyond those of ``documents`` pass as well.
 """
 
@@ -26,15 +27,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest id.
-
-    The texts are dealt by id once, which serves both the join and the search for repeated rows."""
-    found = simhash.near_duplicates(docs)
-    copies = found.where("doc_id > component_id").select("doc_id").distinct()
-    rest = docs.join(copies, "doc_id", "left_anti")
-    same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    row = fresh(docs, "__row")
-    return rest.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).select(*docs.columns)
+    """Of each group of near-duplicates, the row with the smallest id; of several with that id one.
+
+    A row is known by the digest of its id and text, so that an id may have several texts.  The
+    texts are dealt by it once, which serves both the join and the search for repeated rows."""
+    of_row = F.sha2(F.concat(F.coalesce(F.concat(F.col("doc_id").cast("string"), F.lit(":")), F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    found = simhash.near_duplicates(docs, digest=of_row)
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")).select("first.digest")
+    digest, row = fresh(docs, "__digest"), fresh(docs, "__row")
+    rest = docs.withColumn(digest, of_row).join(stays.withColumnRenamed("digest", digest), digest, "left_semi")
+    numbered = rest.withColumn(row, F.row_number().over(W.partitionBy(digest).orderBy(digest)))
+    return numbered.where(F.col(row) == 1).select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
