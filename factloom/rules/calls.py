@@ -41,12 +41,12 @@ def unchecked_result_call(checked_callables: tuple = (), checked_prefixes: tuple
 
 
 @rule("ALL-CALL0002", "Call")
-def unbounded_blocking_call(bounded_callables: tuple = (), bound_names: tuple = ("timeout", "deadline", "timeout_seconds")):
+def unbounded_blocking_call(bounded_callables: tuple = (), bound_names: tuple = ("timeout", "deadline", "duration")):
     return _calls(lambda c: one_of(c["qualified_name"], bounded_callables) & ~any_of(c["keyword_names"], bound_names) & ~c["has_starred_arguments"], "can wait for ever:")
 
 
 @rule("ALL-DEPE0003", "Call", over_facts=True)
-def repeated_external_unary_transformation(facts, minimum_repetitions: int = 3, minimum_files: int = 2, ignored_callables: tuple = (), first_party_modules: tuple = (), transformation_names: tuple = ("normalize", "slugify", "sanitize", "clean", "parse", "convert", "format", "encode", "decode")):
+def repeated_external_unary_transformation(facts, minimum_repetitions: int = 3, minimum_files: int = 2, ignored_callables: tuple = (), first_party_modules: tuple = (), transformation_names: tuple = ("camelize", "canonicalize", "convert", "decode", "deserialize", "encode", "normalize", "parse", "sanitize", "serialize", "slugify", "underscore")):
     """Counts by callable come from sums over all files, so a callable is one row a partition in the shuffle."""
     calls = facts["Call"].select("fact_id", "path", F.explode("calls").alias("c"))
     unary = (F.size("c.arguments") == 1) & (F.size(F.coalesce("c.keyword_names", F.array())) == 0)
@@ -137,7 +137,7 @@ def device_wide_numba_synchronization_in_stream_scope():
 
 
 @rule("PY-LOGG0001", "Call", languages=("python",))
-def logger_boundary_bypass_count(preferred_logger: str = "common.log.logger", direct_logger_symbols: tuple = ("logging.getLogger", "logging.debug", "logging.info", "logging.warning", "logging.error", "logging.exception", "logging.critical", "loguru.logger", "structlog.get_logger")):
+def logger_boundary_bypass_count(preferred_logger: str = "common.log.logger", direct_logger_symbols: tuple = ("logging.Logger", "logging.LoggerAdapter", "logging.getLogger", "logging.debug", "logging.info", "logging.warning", "logging.error", "logging.exception", "logging.critical", "logging.fatal", "logging.log", "loguru.logger", "structlog.get_logger")):
     module = F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", ".")
     owns = F.lit(preferred_logger).startswith(module)
     return counted(F.when(~owns, col("calls")), lambda c: one_of(c["qualified_name"], direct_logger_symbols) | c["qualified_name"].startswith("loguru.logger."), about("logger outside the boundary:", "qualified_name"), _line)

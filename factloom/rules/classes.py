@@ -9,8 +9,8 @@ from factloom.plans.rules import counted, flagged, measured, rule, say
 from factloom.rules.common import about, any_of, col, filled, last_name, one_of
 
 _VISIBILITY = ("public", "protected", "internal", "private")
-_KINDS = ("constructor", "destructor", "property", "static_method", "class_method", "method")
-_LIFECYCLE = ("__new__", "__init__", "__post_init__", "model_post_init", "setUp", "tearDown")
+_KINDS = ("constructor", "property", "static_method", "class_method", "method")
+_LIFECYCLE = ("__init_subclass__", "__new__", "__init__", "__post_init__", "model_post_init")
 
 
 def _start(x):
@@ -72,7 +72,7 @@ def artificial_single_subclass_base_count():
 
 
 @rule("PY-CLAS0006", "Class", languages=("python",))
-def pass_through_inheritance_layer_count(contract_suffixes: tuple = ("Error", "Exception", "Protocol", "Mixin")):
+def pass_through_inheritance_layer_count(contract_suffixes: tuple = ("Backend", "Error", "Exception", "Mixin", "Plugin", "Port", "Protocol", "Provider", "Registry", "Strategy")):
     return counted(col("classes"), lambda c: c["is_pass_through_layer"] & ~c["name"].rlike("(" + "|".join(contract_suffixes) + ")$"), about("layer that adds nothing:", "name"), _start)
 
 

@@ -83,10 +83,10 @@ def unowned_high_impact_asset(facts, minimum_downstream: int = 3, maximum_depth:
 
 
 @rule("ALL-DATA0012", "DataAsset")
-def ungoverned_sensitive_field(sensitive_tags: tuple = ("pii", "sensitive", "confidential", "phi")):
+def ungoverned_sensitive_field(sensitive_tags: tuple = ("pii", "sensitive", "confidential", "personal")):
     of = lambda a: F.transform(F.coalesce(a["fields"], F.array()), lambda f: F.struct(a["identifier"].alias("asset"), filled(a["owners"]).alias("owned"), f.alias("f")))
     rows = F.flatten(F.transform("assets", of))
-    return counted(rows, lambda x: any_of(F.transform(x["f"]["tags"], F.lower), sensitive_tags) & (~x["owned"] | ~filled(x["f"]["glossary_terms"])), lambda x: say("sensitive field without governance: ", x["asset"], ".", x["f"]["name"]))
+    return counted(rows, lambda x: any_of(F.transform(x["f"]["tags"], lambda t: F.lower(F.trim(t))), sensitive_tags) & (~x["owned"] | ~filled(x["f"]["glossary_terms"])), lambda x: say("sensitive field without governance: ", x["asset"], ".", x["f"]["name"]))
 
 
 @rule("ALL-DATA0013", "DataAssetReference", "DataAsset", over_facts=True)

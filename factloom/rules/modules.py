@@ -336,8 +336,8 @@ def public_module_constant():
 
 
 @rule("PY-NAMI0001", "Symbol", kind="boolean", fix="review", languages=("python",))
-def boolean_predicate_name(prefixes: tuple = ("is", "has", "can", "should", "was", "will", "are", "does", "did", "may", "must", "needs")):
-    named = lambda s: F.regexp_replace(s["name"], "^_+", "").rlike("^(" + "|".join(prefixes) + ")(_|$)")
+def boolean_predicate_name(prefixes: tuple = ("is_", "has_", "can_", "should_", "supports_")):
+    named = lambda s: F.regexp_replace(s["name"], "^_+", "").rlike("^(" + "|".join(prefixes) + ")")
     return flagged(F.exists("symbols", lambda s: s["returns_boolean"] & ~s["name"].startswith("__") & ~named(s)), "a Boolean does not read as a question")
 
 

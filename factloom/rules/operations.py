@@ -9,8 +9,9 @@ from factloom.plans.rules import categorized, counted, flagged, gauged, rule, sa
 from factloom.rules.common import about, any_of, col, filled, given, one_of
 
 MOST = Numeric(minimum=95)
-TASKS = ("format", "lint", "test", "build")
-CAPABILITIES = ("setup", "test", "lint", "run")
+GATES = ("lint", "typecheck", "test")
+TASKS = ("setup", "lint", "typecheck", "test", "build")
+CAPABILITIES = ("setup", "test", "architecture", "debug", "contribute")
 
 
 @rule("ALL-ARCH0001", "ArchitectureCharacteristic", kind="float", policy=MOST)
@@ -24,13 +25,14 @@ def architecture_fitness_coverage(require_ci: bool = True, maximum_age_days: int
 
 
 @rule("ALL-CI0001", "CIConfiguration", kind="category", policy=Category(frozenset({"complete"}), frozenset({"partial"}), frozenset({"fragile", "absent"})))
-def continuous_integration(required_tasks: tuple = TASKS):
-    blocking = F.filter("workflows", lambda w: w["is_change_blocking"])
-    tasks = F.array_distinct(F.flatten(F.transform(blocking, lambda w: w["tasks"])))
-    missing = F.size(F.array_except(F.array(*[F.lit(t) for t in required_tasks]), tasks))
-    sound = F.forall(blocking, lambda w: w["uses_locked_dependencies"] & w["has_explicit_permissions"] & w["cancels_superseded_runs"])
-    cases = [(~filled(col("workflows")), "absent"), (F.size(blocking) == 0, "fragile"), ((missing == 0) & sound, "complete"), (missing < len(required_tasks), "partial")]
-    return categorized(cases, "fragile", say("required tasks without a blocking workflow: ", missing))
+def continuous_integration(required_tasks: tuple = GATES):
+    """Blocking workflows that run a required task are the gates; all of them must be sound."""
+    gates = F.filter(F.coalesce("workflows", F.array()), lambda w: w["is_change_blocking"] & any_of(w["tasks"], required_tasks))
+    tasks = F.flatten(F.transform(gates, lambda w: w["tasks"]))
+    present = F.size(F.array_intersect(F.array(*[F.lit(t) for t in required_tasks]).cast("array<string>"), tasks))
+    sound = F.forall(gates, lambda w: w["uses_locked_dependencies"] & w["has_explicit_permissions"] & w["cancels_superseded_runs"])
+    cases = [(present == 0, "absent"), (present < len(required_tasks), "partial"), (sound, "complete")]
+    return categorized(cases, "fragile", say("required tasks with a blocking workflow: ", present))
 
 
 @rule("ALL-CI0002", "CICheck", kind="float", policy=MOST)
@@ -80,7 +82,7 @@ def onboarding_readiness(required_capabilities: tuple = CAPABILITIES):
 
 
 @rule("ALL-LIFE0002", "FeatureFlag")
-def feature_flag_debt(maximum_age_days: int = 90, permanent_labels: tuple = ("permanent", "operational")):
+def feature_flag_debt(maximum_age_days: int = 90, permanent_labels: tuple = ("operational", "permission")):
     kept = lambda x: one_of(x["role"], permanent_labels) & given(x["owner"]) & filled(x["tested_states"]) & given(x["cleanup_plan"])
     return counted(col("flags"), lambda x: F.coalesce(x["decision_due_days"] <= 0, F.lit(False)) | ((x["age_days"] > maximum_age_days) & ~kept(x)), about("flag without a current decision:", "name"))
 
@@ -168,7 +170,7 @@ def minimum_python_declaration(minimum_version: str = "3.14"):
 
 
 @rule("ALL-COMM0001", "Comment", kind="float", policy=Numeric(maximum=20))
-def comment_length(measure: str = "tokens", normalization_max: int = 200, notice_markers: tuple = ("copyright", "license", "spdx")):
+def comment_length(measure: str = "tokens", normalization_max: int = 200, notice_markers: tuple = ("spdx-license-identifier", "copyright", "licensed under", "all rights reserved")):
     size = {"tokens": "token_count", "characters": "character_count", "lines": "line_count"}[measure]
     notice = lambda g: F.coalesce(F.lower(g["text"]).rlike("|".join(notice_markers)), F.lit(False))
     sizes = F.transform(F.filter("groups", lambda g: ~g["is_documentation"] & ~g["is_directive"] & ~notice(g)), lambda g: g[size])
@@ -182,8 +184,8 @@ def commented_out_code(minimum_lines: int = 1):
 
 
 @rule("ALL-COMM0003", "Comment")
-def unresolved_work_marker(markers: tuple = ("TODO", "FIXME", "XXX", "HACK")):
-    return counted(col("groups"), lambda g: F.regexp_extract(g["text"], r"^\W*(\w+)", 1).isin(*markers), about("unresolved work:", "text"), lambda g: g["node"]["start_line"])
+def unresolved_work_marker(markers: tuple = ("todo", "fixme", "xxx", "hack")):
+    return counted(col("groups"), lambda g: F.lower(F.regexp_extract(g["text"], r"^\W*(\w+)", 1)).isin(*markers), about("unresolved work:", "text"), lambda g: g["node"]["start_line"])
 
 
 @rule("ALL-TEST0002", "TestFunction")

@@ -4,16 +4,32 @@ Nodes are listed in preorder, so that what stands below a node is a range of ord
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.plans.rules import counted, flagged, rule, say
 from factloom.rules.common import about, col, last_name, one_of
 
-_HANDLERS = ("except_handler", "except_clause", "catch_clause", "handler")
+# Settings name kinds of nodes as rules state them; parsers name them more narrowly.
+_NARROWER = {
+    "except": ("except_handler", "except_clause", "handler"), "catch": ("catch_clause",), "raise": ("raise_statement",), "throw": ("throw_statement",),
+    "pass": ("pass_statement", "empty_statement", "comment"), "continue": ("continue_statement",), "...": (),
+    "name": ("identifier",), "member": ("attribute",), "literal": ("constant",), "collection": ("list", "tuple", "dict", "set"), "operation": ("compare", "binary_operator"),
+    "branch": ("if", "if_statement", "match", "switch_statement"), "loop": ("for", "for_statement", "while", "while_statement"), "guard": ("try", "try_statement", "with"), "scope": ("function", "class"),
+}
+
+
+def _kinds(names: tuple) -> tuple:
+    """The kinds that settings mean."""
+    return tuple(k for n in names for k in (n, *_NARROWER.get(n, ())))
+
+
+_HANDLERS = ("except", "catch", "rescue")
 _GUARDS = ("try", "try_statement")
-_RAISES = ("raise", "raise_statement", "throw_statement")
-_BODIES = ("if", "for", "while", "with", "try", "match", "function", "class", "if_statement", "for_statement", "while_statement", "try_statement", "switch_statement")
+_RAISES = ("raise", "throw")
+_BODIES = ("branch", "loop", "guard", "scope")
 
 
 def _below(n: Column) -> Column:
@@ -38,7 +54,7 @@ def _calls(names: Column | str) -> Column:
 
 
 @rule("ALL-CONT0001", "Syntax")
-def superfluous_else_after_jump(jumps: tuple = ("return", "raise", "throw", "break", "continue")):
+def superfluous_else_after_jump(jumps: tuple = ("return", "raise", "throw", "break", "continue", "panic!")):
     """A branch has its test, its block, then its alternative as children in order."""
 
     def jumped(n):
@@ -50,65 +66,74 @@ def superfluous_else_after_jump(jumps: tuple = ("return", "raise", "throw", "bre
 
 
 @rule("ALL-CONT0002", "Syntax")
-def statement_without_effect(inert_kinds: tuple = ("name", "compare", "constant", "list", "tuple", "dict", "set", "attribute", "identifier", "binary_operator")):
+def statement_without_effect(inert_kinds: tuple = ("name", "member", "literal", "collection", "operation")):
     def inert(n):
         children = _children(n)
-        return (F.size(children) == 1) & one_of(F.get(children, 0)["kind"], inert_kinds) & ~(F.get(children, 0)["text"].rlike(r"""^([rbuf]*["']|\.\.\.)"""))
+        return (F.size(children) == 1) & one_of(F.get(children, 0)["kind"], _kinds(inert_kinds)) & ~(F.get(children, 0)["text"].rlike(r"""^([rbuf]*["']|\.\.\.)"""))
 
     return counted(_of("expr", "expression_statement"), inert, about("computed and thrown away:", "text"), _line)
 
 
 @rule("ALL-CONT0003", "Syntax")
-def debug_artifact_left_behind(artifacts: tuple = ("print", "pprint", "breakpoint", "pdb.set_trace", "ipdb.set_trace", "console.log", "console.debug", "dbg!"), exempt_segments: tuple = ("tests", "test", "cli", "scripts", "__main__.py")):
-    exempt = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in exempt_segments])) | F.element_at(F.split("path", "/"), -1).rlike(r"^test_|_test\.|^conftest")
-    return counted(F.when(~exempt, _of("call", "call_expression", "debugger_statement", "macro_invocation")), lambda n: one_of(n["name"], artifacts) | (n["kind"] == "debugger_statement"), about("left behind:", "name"), _line)
+def debug_artifact_left_behind(
+    artifacts: tuple = ("print", "printf", "println!", "eprintln!", "dbg!", "console.log", "console.debug", "breakpoint", "debugger", "pdb.set_trace", "set_trace"),
+    exempt_segments: tuple = ("test", "tests", "cli", "main", "bin", "script", "scripts", "example", "examples"),
+):
+    """A node without a name is searched for the words of its text, unless nodes below it are."""
+    exempt = F.lower("path").rlike(r"(^|[\\/._-])(" + "|".join(map(re.escape, exempt_segments)) + r")($|[\\/._-])")
+    words = lambda n: F.transform(F.filter(F.regexp_extract_all(n["text"], F.lit(r"[A-Za-z_][A-Za-z0-9_.]*!?"), F.lit(0)), lambda w: one_of(w, artifacts)), lambda w: F.struct(w.alias("name"), n["line"].alias("line")))
+    named = lambda n: F.when(one_of(n["name"], artifacts) | (n["kind"] == "debugger_statement"), F.array(F.struct(n["name"].alias("name"), n["line"].alias("line"))))
+    bare = lambda n: (F.coalesce(n["name"], F.lit("")) == "") & (F.size(_children(n)) == 0)
+    nodes = _of("call", "call_expression", "debugger_statement", "macro_invocation", "effect", "expression")
+    found = F.flatten(F.transform(nodes, lambda n: F.coalesce(F.when(bare(n) & (n["kind"] != "debugger_statement"), words(n)).otherwise(named(n)), F.array())))
+    return counted(F.when(~exempt, found), lambda n: F.lit(True), about("left behind:", "name"), _line)
 
 
 @rule("ALL-CONT0004", "Syntax", kind="boolean")
 def deeply_nested_body(maximum_depth: int = 3, body_kinds: tuple = _BODIES):
-    bodies = _of(*body_kinds)
+    bodies = _of(*_kinds(body_kinds))
     deep = F.exists(bodies, lambda n: F.size(F.filter(bodies, lambda o: (o["ordinal"] < n["ordinal"]) & (n["ordinal"] < o["subtree_end"]))) >= maximum_depth)
     return flagged(deep, say("bodies within bodies in ", col("qualname")))
 
 
 @rule("ALL-ERRO0001", "Syntax")
-def swallowed_error(handlers: tuple = _HANDLERS, inert: tuple = ("pass", "pass_statement", "continue", "continue_statement", "empty_statement", "comment"), discard: str = "_", failures_as_values: tuple = ("rust", "go")):
+def swallowed_error(handlers: tuple = _HANDLERS, inert: tuple = ("pass", "continue", "..."), discard: str = "_", failures_as_values: tuple = ("rust", "go")):
     """Where failures are values, an assignment to the discard name swallows one."""
 
     def silent(n):
         body = F.filter(_below(n), lambda x: x["depth"] == n["depth"] + 1)
         body = F.filter(body, lambda x: ~x["kind"].isin("name", "attribute", "tuple", "identifier", "catch_parameter"))
         body = F.flatten(F.transform(body, lambda x: F.when(x["kind"].isin("block", "statement_block"), _children(x)).otherwise(F.array(x))))
-        return F.forall(body, lambda x: one_of(x["kind"], inert) | ((x["kind"] == "expr") & (x["text"] == "...")))
+        return F.forall(body, lambda x: one_of(x["kind"], _kinds(inert)) | ((x["kind"] == "expr") & one_of(x["text"], inert)))
 
     dropped = F.when(col("language").isin(*failures_as_values), F.filter(_of("assign", "let_declaration", "assignment_statement", "short_var_declaration"), lambda n: n["name"] == discard)).otherwise(F.array())
-    return counted(F.concat(F.filter(_of(*handlers), silent), F.coalesce(dropped, F.array())), lambda n: F.lit(True), about("failure is swallowed"), _line)
+    return counted(F.concat(F.filter(_of(*_kinds(handlers)), silent), F.coalesce(dropped, F.array())), lambda n: F.lit(True), about("failure is swallowed"), _line)
 
 
 @rule("ALL-ERRO0002", "Syntax")
 def raise_without_cause(handlers: tuple = _HANDLERS, raises: tuple = _RAISES, causes: tuple = ("from", "cause")):
     def causeless(h):
         alias = F.coalesce(F.nullif(h["name"], F.lit("")), F.lit("\0"))
-        return F.filter(_below(h), lambda n: one_of(n["kind"], raises) & n["text"].rlike(r"\(") & ~n["text"].rlike(r"\b(" + "|".join(causes) + r")\b") & ~n["text"].contains(alias))
+        return F.filter(_below(h), lambda n: one_of(n["kind"], _kinds(raises)) & n["text"].rlike(r"\(") & ~n["text"].rlike(r"\b(" + "|".join(causes) + r")\b") & ~n["text"].contains(alias))
 
-    return counted(F.flatten(F.transform(_of(*handlers), causeless)), lambda n: F.lit(True), about("raised without its cause:", "text"), _line)
+    return counted(F.flatten(F.transform(_of(*_kinds(handlers)), causeless)), lambda n: F.lit(True), about("raised without its cause:", "text"), _line)
 
 
 def _raised(n: Column) -> Column:
-    return F.regexp_extract(n["text"], r"^\s*(?:raise|throw)\s+(?:new\s+)?([\w.]+)", 1)
+    return F.regexp_extract(n["text"], r"^\s*(?:raise|throw)\s+(?:new\s+)?([\w.:]+)", 1)
 
 
 @rule("ALL-ERRO0003", "Syntax")
-def vanilla_error_type(base_errors: tuple = ("Exception", "BaseException", "Error", "RuntimeException", "Throwable")):
-    return counted(_of(*_RAISES), lambda n: one_of(_raised(n), base_errors), about("base error raised:", "text"), _line)
+def vanilla_error_type(base_errors: tuple = ("Exception", "BaseException", "Error", "Throwable", "RuntimeException", "std::exception")):
+    return counted(_of(*_kinds(_RAISES)), lambda n: one_of(_raised(n), base_errors), about("base error raised:", "text"), _line)
 
 
 @rule("ALL-ERRO0004", "Syntax")
-def raise_inside_guarded_region(handlers: tuple = _HANDLERS, catch_all: tuple = ("Exception", "BaseException", "Error")):
+def raise_inside_guarded_region(handlers: tuple = _HANDLERS, catch_all: tuple = ("Exception", "BaseException", "Error", "Throwable")):
     def caught(t):
-        clauses = F.filter(_children(t), lambda c: one_of(c["kind"], handlers))
+        clauses = F.filter(_children(t), lambda c: one_of(c["kind"], _kinds(handlers)))
         first = F.coalesce(F.array_min(F.transform(clauses, lambda c: c["ordinal"])), t["subtree_end"])
-        thrown = F.transform(F.filter(_below(t), lambda n: n["kind"].isin(*_RAISES) & (n["ordinal"] < first)), lambda n: last_name(_raised(n)))
+        thrown = F.transform(F.filter(_below(t), lambda n: n["kind"].isin(*_kinds(_RAISES)) & (n["ordinal"] < first)), lambda n: last_name(_raised(n)))
         named = F.flatten(F.transform(clauses, lambda c: F.regexp_extract_all(F.regexp_extract(c["text"], r"^[^:{]*", 0), F.lit(r"\b[A-Z]\w*"), F.lit(0))))
         bare = F.exists(clauses, lambda c: c["text"].rlike(r"^\s*except\s*:"))
         return F.arrays_overlap(thrown, named) | ((F.size(thrown) > 0) & (bare | F.exists(named, lambda x: one_of(x, catch_all))))
@@ -129,10 +154,10 @@ def uninformative_local_name(minimum_length: int = 3, conventional: tuple = ("_"
 
 
 @rule("ALL-SECU0002", "Syntax")
-def weak_hashing_primitive(also_broken: tuple = (), factories: tuple = ("hashlib.new", "new", "createHash", "crypto.createHash")):
+def weak_hashing_primitive(also_broken: tuple = (), factories: tuple = ("createhash", "getinstance", "newdigest")):
     names = "|".join(("md5", "md4", "md2", "sha1", "sha_1", "ripemd160", *also_broken))
     direct = lambda n: F.lower(n["name"]).rlike(rf"(^|[.:_])({names})$")
-    made = lambda n: one_of(n["name"], factories) & F.lower(n["text"]).rlike(rf"""\(\s*["']({names}|sha-1)["']""")
+    made = lambda n: (one_of(F.lower(last_name(n["name"])), factories) | (n["name"] == "hashlib.new")) & F.lower(n["text"]).rlike(rf"""\(\s*["']({names}|sha-1)["']""")
     return counted(_of("call", "call_expression"), lambda n: (direct(n) | made(n)) & ~n["text"].contains("usedforsecurity=False"), about("broken hash:", "name"), _line)
 
 
