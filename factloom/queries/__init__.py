@@ -25,4 +25,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from factloom.queries import algebra, engine, graphs, text  # noqa: F401
+    from factloom.queries import algebra, engine, graphs, rulebook, text  # noqa: F401

@@ -185,3 +185,23 @@ def test_contextual_judgement(spark):
     deployment = fact_table(spark, "Deployment", [{**AT, "fact_id": "d"}])
     assert CONTEXTUAL["ALL-DEPL1001"].judge(deployment, Constant("yes")).collect()[0]["category"] == "verified"
     assert CONTEXTUAL["ALL-DEPL1001"].judge(deployment, Constant("yes", 0.5)).collect()[0]["verdict"] == "unassessed"
+
+
+def test_rulebook_covers_the_contextual_catalogue():
+    from factloom.queries import rulebook
+
+    assert {line.split()[0] for line in rulebook.CONTEXT.strip().split("\n")} == set(CONTEXTUAL)
+    assert set(rulebook.BOOK) <= set(REGISTRY) and len(rulebook.BOOK) >= 210
+
+
+@pytest.mark.parametrize(
+    ("id", "node", "n"),
+    [
+        ("ALL-CONT0003", {"kind": "call", "name": "set_trace"}, 1), ("ALL-CONT0003", {"kind": "expression", "name": "", "text": "println!(x); dbg!(y)"}, 2), ("ALL-CONT0003", {"kind": "call", "name": "logger.debug"}, 0),
+        ("ALL-ERRO0003", {"kind": "throw", "text": "throw new std::exception()"}, 1), ("ALL-ERRO0003", {"kind": "raise", "text": "raise KeyError(x)"}, 0),
+        ("ALL-SECU0002", {"kind": "call", "name": "crypto.createHash", "text": "crypto.createHash('md5')"}, 1), ("ALL-SECU0002", {"kind": "call", "name": "hashlib.sha256", "text": "hashlib.sha256(b)"}, 0),
+    ],
+)
+def test_restored_defaults(spark, id, node, n):
+    nodes = [{"node_id": "0", "ordinal": 0, "subtree_end": 1, "depth": 0, "line": 1, **node}]
+    assert run(spark, id, {"qualname": "f", "kind": "function", "nodes": nodes})[0][0] == n
