@@ -33,13 +33,30 @@ def co_change(changes: DataFrame, change: Sequence[str], path: str, most: int, w
     return pairs.join(of("left"), [*within, "left"]).join(of("right"), [*within, "right"])
 
 
+def stem(path: Column) -> Column:
+    """The name by which imports know a file; a package's own file goes by its folder."""
+    base = F.split(F.element_at(F.split(path, "/"), -1), r"\.")[0]
+    folder = F.regexp_extract(path, r"(?:^|/)([^/]+)/[^/]+$", 1)
+    return F.when(base.isin("__init__", "mod", "lib", "index", "main") & path.contains("/"), folder).otherwise(base)
+
+
+def references(pairs: DataFrame, imports: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Pairs with ``import_reference_count``: import lines (``path``, ``imported``) of either side that name the other's stem.
+
+    Lines meet pairs by the file that holds them, so a pair costs as many rows as its two files have lines."""
+    within = list(within)
+    keys = [*within, "left", "right"]
+    lines = imports.select(*within, F.col("path").alias("reader"), F.col("imported").cast("string").alias("line"))
+    sides = pairs.select(*keys, F.explode(F.array(F.struct(F.col("left").alias("reader"), stem(F.col("right").cast("string")).alias("stem")), F.struct(F.col("right").alias("reader"), stem(F.col("left").cast("string")).alias("stem")))).alias("side")).select(*keys, "side.*")
+    named = sides.join(lines, [*within, "reader"]).where(mentions(F.col("line"), F.col("stem"))).groupBy(*keys).agg(F.count(F.lit(1)).alias("import_reference_count"))
+    return pairs.join(named, keys, "left").withColumn("import_reference_count", F.coalesce("import_reference_count", F.lit(0)))
+
+
 def uncoupled(pairs: DataFrame, imports: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Pairs of which neither side imports the other (``path``, ``imported``)."""
-    known = imports.select(*within, F.col("path").alias("left"), F.col("imported").alias("right"))
-    known = known.unionByName(known.select(*within, F.col("right").alias("left"), F.col("left").alias("right"))).distinct()
-    return pairs.join(known, [*within, "left", "right"], "left_anti")
+    """Pairs of which no import line of either side names the other."""
+    return references(pairs, imports, within).where("import_reference_count = 0").drop("import_reference_count")
 
 
 def mentions(text: Column, name: Column) -> Column:
-    """Whether a text names something as a word of its own."""
-    return F.regexp_like(text, F.concat(F.lit(r"(^|\W)"), escape_regex(name), F.lit(r"(\W|$)")))
+    """Whether a text names something as a word of its own, of any script's letters."""
+    return F.regexp_like(text, F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), escape_regex(name), F.lit(r"($|[^\p{L}\p{N}_])")))

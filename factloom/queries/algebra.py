@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions.numbers import distinct_with_null, nearest_quantile, percentage, significant
-from factloom.operators.history import co_change, uncoupled
+from factloom.operators.history import co_change, references, uncoupled
 from factloom.operators.relations import first_per_group, largest_per_group, unambiguous
 from factloom.operators.timeline import flaps, transitions
 from factloom.queries import query
@@ -73,6 +73,18 @@ def b8_co_change_pairs(table):
     return co_change(table("lineitem"), ["l_orderkey"], "l_suppkey", 5)
 
 
+@query(_CO + """
+, s AS (SELECT CAST(s_suppkey AS VARCHAR) AS i, CAST(s_nationkey AS VARCHAR) AS to_one FROM supplier), q AS (SELECT CAST("left" AS VARCHAR) AS l, CAST("right" AS VARCHAR) AS r, shared FROM pairs)
+SELECT 'src/s' || l || '.py' AS "left", 'src/s' || r || '.py' AS "right", shared, CAST((a.to_one = r) AS BIGINT) + CAST((b.to_one = l) AS BIGINT) AS import_reference_count
+FROM q JOIN s a ON a.i = l JOIN s b ON b.i = r""")
+def b11_import_references(table):
+    """Suppliers as files: one is in an import line of another if its number is the other's nation."""
+    path = lambda c: F.concat(F.lit("src/s"), c.cast("string"), F.lit(".py"))
+    pairs = co_change(table("lineitem"), ["l_orderkey"], "l_suppkey", 5).select(path(F.col("left")).alias("left"), path(F.col("right")).alias("right"), "shared")
+    lines = table("supplier").select(path(F.col("s_suppkey")).alias("path"), F.concat(F.lit("from src.s"), F.col("s_nationkey").cast("string"), F.lit(" import ss1")).alias("imported"))
+    return references(pairs, lines)
+
+
 @query(_CO + 'SELECT "left", "right", shared FROM pairs JOIN k x ON x.p = "left" JOIN k y ON y.p = "right" WHERE shared >= 2 AND shared >= 0.05 * least(x.n, y.n) AND ("left" + 1 <> "right")')
 def b9_co_change_confidence(table):
     pairs = co_change(table("lineitem"), ["l_orderkey"], "l_suppkey", 5).where("shared >= 2 AND shared >= 0.05 * least(left_count, right_count)")

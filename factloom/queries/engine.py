@@ -152,10 +152,10 @@ def n2_normalized_facts(table):
     return normalize(order_facts(table))["facts"].select("fact_id", "price", "`lines.present`", "`lines.length`")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS fact_id, 'roles' AS relation, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS BIGINT) AS ordinal, role AS string_value, count(*) OVER (PARTITION BY conv_id) AS container_length FROM conversations WHERE turn < 64")
+@query("SELECT CAST(conv_id AS VARCHAR) AS fact_id, 'roles' AS relation, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS BIGINT) AS ordinal, role AS string_value, count(*) OVER (PARTITION BY conv_id) AS container_length FROM conversations")
 def n3_normalized_values(table):
-    """Turns of a conversation are bounded by ``turn``, so their list is too."""
-    rows = table("conversations").where("turn < 64").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    """A conversation's turns are one fact's values, which a conversation bounds."""
+    rows = table("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
     facts = rows.select(F.col("conv_id").cast("string").alias("fact_id"), F.lit("p").alias("path"), F.lit("l").alias("language"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "roles")
     return normalize(facts)["values"].select("fact_id", "relation", "ordinal", "string_value", "container_length")
 

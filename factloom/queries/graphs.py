@@ -72,11 +72,11 @@ _TOKENS = "list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')
 
 def _windows(table, size: int):
     items = F.filter(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda x: x != "")
-    return clones.windows(table("benchmark").withColumnRenamed("item_id", "key").unionByName(table("documents").where("lang = 'en'").select((-1 - F.col("doc_id")).alias("key"), "text")), "key", items, size)
+    return clones.windows(table("benchmark").withColumnRenamed("item_id", "key").unionByName(table("documents").select((-1 - F.col("doc_id")).alias("key"), "text")), "key", items, size)
 
 
 @query(f"""
-WITH d AS (SELECT item_id AS key, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT item_id AS key, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents),
 t AS (SELECT key, {_TOKENS} AS a FROM d), w AS (SELECT key, unnest(list_transform(range(1, len(a) - 38), lambda i: array_to_string(a[i:i + 39], chr(31)))) AS k FROM t WHERE len(a) >= 40),
 r AS (SELECT k, count(*) AS places FROM w GROUP BY k HAVING count(*) > 1)
 SELECT key, count(*) AS windows, max(places) AS places FROM w JOIN r USING (k) GROUP BY key""")
@@ -86,7 +86,7 @@ def e6_clone_windows(table):
 
 
 @query(f"""
-WITH d AS (SELECT item_id AS key, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents WHERE lang = 'en'),
+WITH d AS (SELECT item_id AS key, text FROM benchmark UNION ALL SELECT -1 - doc_id, text FROM documents),
 t AS (SELECT key, {_TOKENS} AS a FROM d), w AS (SELECT key, unnest(list_transform(range(1, len(a) - 38), lambda i: array_to_string(a[i:i + 39], chr(31)))) AS k, unnest(range(0, len(a) - 39)) AS place FROM t WHERE len(a) >= 40),
 r AS (SELECT k, count(*) AS places FROM w GROUP BY k HAVING count(*) > 1),
 g AS (SELECT key, place, place - row_number() OVER (PARTITION BY key ORDER BY place) AS run FROM w JOIN r USING (k))
