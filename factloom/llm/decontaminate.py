@@ -16,6 +16,9 @@ the item up to its last sentence, the answer that sentence.  Of the question's r
 words at least ``OVERLAP`` stand in the document, and of the answer's too; a part with fewer
 than five words is one run.
 
+Texts that lack too many of a part's rare words to be verified are set aside beforehand; this
+is a bound of the verification itself and loses nothing.
+
 The index is a broadcast of items whose words are bounded by ``BLOCK_WORDS``; more items are
 taken in blocks of that size, each against all documents, with the statistics of all items.
 
@@ -46,6 +49,8 @@ K1, B = 1.2, 0.75
 RETRIEVE, OVERLAP, RUN = 0.6, 0.8, 5
 #: Share of an item's threshold that the terms set aside stay under.
 SPARED = 0.7
+#: Rare words of a part that a text must hold, beside those that it may lack.
+SIEVE = 4
 #: Words of the texts that are searched at once.
 AT_ONCE = 250_000
 #: Items in a block of postings, and words in a block of items, some 200 MB as an index with their parts.
@@ -132,6 +137,48 @@ class Index:
         least[:n] = self.threshold
         self.least = least.reshape(self.blocks, POSTINGS).min(axis=1)
         self._essential(weights)
+        self._sieve([parts_of(t) for _, t in rows], spread)
+
+    def _sieve(self, parts: list[tuple[list[str], list[str]]], spread: Mapping[str, int]) -> None:
+        """Rare words of each part, of which a text must hold a stated number to be verified.
+
+        Of a part with different runs, every missing word breaks a run of its own at least, so a
+        text lacks no more words than it may lack runs."""
+        rows: dict[str, list[int]] = defaultdict(list)
+        need, item_of = [], []
+        for item, of_item in enumerate(parts):
+            for words in (w for w in of_item if w):
+                n = len(runs(words))
+                spare = int((1 - OVERLAP) * n + 1e-9)
+                rare = sorted(set(words), key=lambda w: (spread.get(w, 0), w))[: spare + SIEVE]
+                if n == max(1, len(words) - RUN + 1) and len(rare) > spare:
+                    for w in rare:
+                        rows[w].append(len(need))
+                    need.append(len(rare) - spare)
+                    item_of.append(item)
+        self.rare = {w: k for k, w in enumerate(rows)}
+        self.rare_row = np.concatenate([[0], np.cumsum([len(p) for p in rows.values()])]).astype(np.int64)
+        self.rare_part = np.array([p for of in rows.values() for p in of], dtype=np.int64)
+        self.need, self.item_of = np.array(need, dtype=np.int64), np.array(item_of, dtype=np.int64)
+        self.sieved = np.bincount(self.item_of, minlength=len(self.ids)) if len(self.ids) else np.zeros(0, dtype=np.int64)
+        self.free = set(np.flatnonzero(self.sieved == 0).tolist())
+
+    def possible(self, texts: list[list[str]]) -> dict[int, set[int]]:
+        """By text, the items that it could be verified to hold; texts without any are left out."""
+        get = self.rare.get
+        met = [np.unique(np.array([k for k in map(get, words) if k is not None], dtype=np.int64)) for words in texts]
+        text, term = np.repeat(np.arange(len(met)), [len(m) for m in met]), np.concatenate([*met, np.zeros(0, dtype=np.int64)])
+        size = self.rare_row[term + 1] - self.rare_row[term]
+        at = np.repeat(self.rare_row[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pair, held = np.unique(np.repeat(text, size) * max(1, len(self.need)) + self.rare_part[at], return_counts=True)
+        part = pair % max(1, len(self.need))
+        good = held >= self.need[part]
+        n = max(1, len(self.ids))
+        both, parts = np.unique(pair[good] // max(1, len(self.need)) * n + self.item_of[part[good]], return_counts=True)
+        found: dict[int, set[int]] = {i: set(self.free) for i in range(len(texts))} if self.free else {}
+        for key in both[parts == self.sieved[both % n]].tolist():
+            found.setdefault(key // n, set()).add(key % n)
+        return found
 
     def _essential(self, weights: list[dict[int, float]]) -> None:
         """Each item's terms but the weakest, as rows by term; ``rest`` bounds what those add."""
@@ -154,8 +201,9 @@ class Index:
         k = bisect_left(terms, t)
         return k if k < len(terms) and terms[k] == t else -1
 
-    def hopeful(self, texts: list[list[str]]) -> list[tuple[int, int, int]]:
-        """Texts, passages and blocks in which the essential terms and the rest could reach a threshold."""
+    def hopeful(self, texts: list[list[str]], possible: list[set[int]]) -> list[tuple[int, int, int]]:
+        """Texts, passages and blocks in which the essential terms and the rest could reach a
+        threshold of an item that is possible for the text."""
         get = self.essential.get
         passages, terms, first = [], [], [0]
         for words in texts:
@@ -178,6 +226,10 @@ class Index:
         total = np.bincount(where, weights=self.row_weight[at])
         item = pair % n
         good = total + self.rest[item] >= self.threshold[item] - 1e-6
+        pair, item = pair[good], item[good]
+        text = np.searchsorted(first, pair // n, side="right") - 1
+        known = np.array([k * len(self.ids) + i for k, items in enumerate(possible) for i in items], dtype=np.int64)
+        good = np.isin(text * len(self.ids) + np.array(self.of)[item], known)
         found = np.unique((pair[good] // n) * self.blocks + item[good] // POSTINGS)
         text = np.searchsorted(first, found // self.blocks, side="right") - 1
         return list(zip(text.tolist(), (found // self.blocks - np.array(first)[text]).tolist(), (found % self.blocks).tolist()))
@@ -185,11 +237,14 @@ class Index:
     def retrieve(self, texts: list[list[str]]) -> dict[int, set[int]]:
         """By text, items of which some passage of it scores an entry over its threshold."""
         found: dict[int, set[int]] = defaultdict(set)
-        for text, passage, block in self.hopeful(texts):
+        possible = self.possible(texts)
+        left = sorted(possible)
+        for k, passage, block in self.hopeful([texts[i] for i in left], [possible[i] for i in left]):
+            text = left[k]
             words = texts[text][passage * STEP : passage * STEP + PASSAGE]
             terms = sorted({self.terms[w] for w in words if w in self.terms})
             if self.most[terms, block].sum(dtype=np.float64) >= self.least[block] - 1e-6:
-                found[text].update(self.of[entry] for entry in self.walk(terms, block))
+                found[text].update(item for entry in self.walk(terms, block) if (item := self.of[entry]) in possible[text])
         return found
 
     def walk(self, terms: list[int], block: int) -> list[int]:

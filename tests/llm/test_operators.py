@@ -37,6 +37,22 @@ def test_columns_of_clashing_names(spark, odd):
         assert plain(made.select(*rest).collect()) == plain(df.select(*rest).collect())
 
 
+def test_sieve_loses_no_verified_item(spark, sf_dir):
+    """Every item that the verification alone finds in a text passes the sieve, words left out or repeated."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(30)]
+    parts = lambda: " ".join(rng.choice(vocabulary, rng.integers(1, 40)))
+    items = [(i, f"{parts()}? {parts()}.") for i in range(150)] + [(150, "a a a a a a a. b b b b b b b."), (151, "one")]
+    index = decontaminate.Index(items)
+    texts = [decontaminate.words_of(t) for _, t in items]
+    for words in list(texts):
+        for _ in range(4):
+            texts.append([w for w in words if rng.random() > 0.05])
+    possible = index.possible(texts)
+    found = [{i for i, _ in index.verified(words, set(range(len(index.ids))))} for words in texts]
+    assert sum(map(len, found)) > 300 and all(f <= possible.get(k, set()) for k, f in enumerate(found))
+
+
 def test_scores_do_not_depend_on_blocks(spark, sf_dir, monkeypatch):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
