@@ -39,20 +39,37 @@ _GOOD = """university library museum newsroom weather recipes gardening history
 school-district orchestra cinema-review bookshop bicycle-club photography astronomy open-source documentation
 statistics-office hospital-info public-transport parliament archive encyclopedia dictionary football-results
 philosophy chess-club hiking-trails language-course mathematics marine-biology""".split()
-_ENDINGS = ("example.com/en/450", "example.org/de/12.html", "example.net/fr/803", "example.org/es/77/")
+#: Ordinary names are two of these words, any two that stand apart in the list by one of ``_APART``.
+_WORDS = """river stone garden north market bridge lake valley house school music paper forest street harbor winter
+summer bread coffee studio design build travel health energy water light green mountain village family kitchen
+letter story window engine rail sport theater doctor farm island coast planet circle silver golden report
+journal daily local world open central united first modern royal grand old new""".split()
+_APART = (1, 3, 7, 12, 18)
+_TLDS = ("com", "org", "net", "de", "fr", "es", "co.uk", "info", "io", "edu")
+_PREFIXES = ("", "www.", "blog.", "m.", "news.", "shop.")
+#: Paths of either kind of page, and paths that only pages to be blocked have.
+_PLAIN = ("", "/", "/en/", "/about", "/news/2021/05", "/articles/17.html", "/wiki/main_page", "/products/list", "/de/12.html", "/blog/post-4", "/contact", "/fr/803", "/es/77/", "/docs/guide/intro", "/index.php", "/2019/story.htm")
+_TELLING = ("/casino/bonus", "/win/prize-claim", "/xxx/videos", "/pills/cheap", "/adult/dating", "/download/crack-keygen", "/loans/payday", "/bet/slots")
 
 
 def labelled() -> list[tuple[str, int]]:
-    """The labelled URL table: (URL, 1 if it is to be blocked)."""
+    """The labelled URL table: (URL, 1 if it is to be blocked).  Ordinary names are in the majority, as on the web."""
     rows = []
-    for label, names in ((1, _BAD), (0, _GOOD)):
-        for n, name in enumerate(names):
-            for k in range(2):
-                rows.append((f"http{'s' * ((n + k) % 2)}://{('', 'www.', 'blog.', 'm.')[(n + k) % 4]}{name}.{_ENDINGS[(n + 2 * k) % 4]}", label))
-    syllables = "th er on an tion re nd at en in ha es st ou ble ing ed ti or he ly ea nt sh wh".split()
-    for n in range(600):
-        host = "th" * (n % 5 == 0) + "".join(syllables[(n * k + n // 7 + k) % len(syllables)] for k in range(1, 3 + n % 2))
-        rows.append((f"https://{('', 'www.', 'blog.', 'm.')[n % 4]}{host}.{_ENDINGS[n % 4]}", 0))
+
+    def add(name: str, n: int, path: str, label: int) -> None:
+        rows.append((f"http{'s' * (n % 3 > 0)}://{_PREFIXES[n % len(_PREFIXES)]}{name}.{_TLDS[n // 2 % len(_TLDS)]}{path}", label))
+
+    for n, name in enumerate(_BAD):
+        for k in range(2):
+            add(name, n + 5 * k, _PLAIN[(n + 7 * k) % len(_PLAIN)], 1)
+    for n, name in enumerate(_GOOD):
+        for k in range(2):
+            add(name, n + 5 * k, _PLAIN[(n + 7 * k) % len(_PLAIN)], 0)
+    for n, first in enumerate(_WORDS):
+        for k, apart in enumerate(_APART):
+            name = first + "-" * (k % 2) + _WORDS[(n + apart) % len(_WORDS)]
+            add(name, n + k, _PLAIN[(n + 3 * k) % len(_PLAIN)], 0)
+        add(first, n, _TELLING[n % len(_TELLING)], 1)
     return rows
 
 
@@ -83,10 +100,8 @@ def _grams(host: str, path: str) -> list[str]:
     return [f"{kind}{part[i : i + n]}" for kind, part in (("h", host), ("p", path)) for n in SIZES for i in range(len(part) - n + 1)]
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[tuple[float, ...], float]:
+def fit(rows: list[tuple[str, int]]) -> tuple[tuple[float, ...], float]:
     """Weights of the buckets and the intercept, by gradient descent with a small ridge."""
-    rows = labelled()
     x, y = np.zeros((len(rows), BUCKETS)), np.array([label for _, label in rows], dtype=float)
     for k, (url, _) in enumerate(rows):
         host, _, path = url.partition("://")[2].partition("/")
@@ -94,7 +109,7 @@ def model() -> tuple[tuple[float, ...], float]:
         for g in grams:
             x[k, _bucket(g)] += 1 / len(grams)
     weights, base = np.zeros(BUCKETS), 0.0
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    share = 1 / len(y)  # unweighted, so that a URL of unknown n-grams is taken for an ordinary one
     for _ in range(3000):
         miss = share * (1 / (1 + np.exp(-(x @ weights + base))) - y)
         weights -= 60.0 * (x.T @ miss + 1e-6 * weights)
@@ -102,6 +117,12 @@ def model() -> tuple[tuple[float, ...], float]:
     return tuple(round(float(w), 4) for w in weights), round(float(base), 4)
 
 
+@lru_cache(maxsize=1)
+def model() -> tuple[tuple[float, ...], float]:
+    """What is learned from the labelled table."""
+    return fit(labelled())
+
+
 def score(host: Column, path: Column) -> Column:
     """Probability that a URL is to be blocked."""
     weights, base = model()

@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factloom.llm import bpe, components, decontaminate, html, pii, registry, rules, simhash, suffixtree, toxicity, urls
 
@@ -414,6 +415,28 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 # 9
 
 
+def test_urls_of_names_held_out(spark):
+    """A fifth of the names, by their digest, is kept from the fit; then they are told apart."""
+
+    def held(url: str) -> bool:
+        host = url.partition("://")[2].partition("/")[0]
+        name = max(host.removeprefix("www.").split("."), key=len)
+        return zlib.crc32(name.encode()) % 5 == 0
+
+    rows = urls.labelled()
+    weights, base = urls.fit([r for r in rows if not held(r[0])])
+    rest = [r for r in rows if held(r[0])]
+    right = {0: [], 1: []}
+    for url, label in rest:
+        host, slash, path = url.partition("://")[2].partition("/")
+        grams = urls._grams(host, slash + path)
+        score = sum(weights[urls._bucket(g)] for g in grams) / len(grams) + base
+        right[label].append((score >= 0) == bool(label))
+    assert len(rest) > 50 and len(right[1]) > 10
+    assert sum(right[0]) >= 0.9 * len(right[0])
+    assert sum(right[1]) >= 0.5 * len(right[1])
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html as library
 
