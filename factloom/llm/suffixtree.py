@@ -40,8 +40,11 @@ LEAST_COUNT = 2
 #: A context is retained if both its divergence (in nats) and twice that times its count reach these.
 LEAST_KL, LEAST_G = 0.002, 30.0
 SMOOTH, SMOOTH_ROOT = 5.0, 0.1
-#: Neighbouring rows of a chunk, and different grams that a task holds at once.
-ROWS, HELD = 2048, 1_500_000
+#: Neighbouring rows of a chunk, fewer by half for each doubling of a text's length over LENGTH
+#: code points, so that a chunk's texts have ROWS * 2 * LENGTH of them at most, or are one text.
+ROWS, LENGTH = 2048, 32_768
+#: Different grams that a task holds at once.
+HELD = 1_500_000
 END = b"\n"
 
 
@@ -78,7 +81,7 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def counted_words(docs: DataFrame) -> DataFrame:
-    """``chunk, word, n`` of ``docs`` (chunk, text, train): a row for each word that a chunk
+    """``chunk, word, n`` of ``docs`` (chunk, size, text, train): a row for each word that a chunk
     holds, with its occurrences in training rows."""
     names = ["chunk", "word", "n"]
 
@@ -89,13 +92,14 @@ def counted_words(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk, dtype=np.int64)), pa.array(words, pa.binary()), pa.array(n)], names=names)
 
     def run(batches):
-        chunk, seen, others = None, Counter(), set()
+        open_chunks = {}  # by size class, each of which meets its chunks one after the other
         for batch in batches:
-            for at, text, train in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for at, kind, text, train in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                chunk, seen, others = open_chunks.get(kind, (None, None, None))
                 if at != chunk:
-                    if seen or others:
+                    if chunk is not None:
                         yield rows_of(chunk, seen, others)
-                    chunk, seen, others = at, Counter(), set()
+                    chunk, seen, others = open_chunks[kind] = (at, Counter(), set())
                 words = tokens(text)
                 if train:
                     seen.update(words)
@@ -103,11 +107,11 @@ def counted_words(docs: DataFrame) -> DataFrame:
                 else:
                     others.update(words)
                     others.add(END)
-        if seen or others:
+        for chunk, seen, others in open_chunks.values():
             yield rows_of(chunk, seen, others)
 
     small_batches(docs.sparkSession)
-    return docs.select("chunk", "text", "train").mapInArrow(run, "chunk bigint, word binary, n bigint")
+    return docs.select("chunk", "size", "text", "train").mapInArrow(run, "chunk bigint, word binary, n bigint")
 
 
 def counted_grams(docs: DataFrame) -> DataFrame:
@@ -375,7 +379,7 @@ def _log_of(key: np.ndarray, tables: Tables) -> np.ndarray:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """Scores of ``docs`` (chunk, doc_id, text, train), each chunk a few MB of rows near each other."""
+    """Scores of ``docs`` (chunk, size, doc_id, text, train), each chunk a few MB of rows near each other."""
     spark = docs.sparkSession
     tree = learn(counted_grams(docs))
     # dealt by word once: for each word's sum over its chunks, and for the numbers of all words
@@ -421,9 +425,11 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def chunked(df: DataFrame) -> DataFrame:
-    """``chunk, doc_id, text, train`` of a table read from files; neighbouring rows share a chunk."""
-    chunk = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / ROWS))
-    return df.select(chunk.alias("chunk"), "doc_id", "text", (fold(F.col("doc_id"), MODULUS) != REMAINDER).alias("train"))
+    """``chunk, size, doc_id, text, train`` of a table read from files; neighbouring rows of a size class share a chunk."""
+    size = F.greatest(F.lit(0), F.floor(F.log2(F.coalesce(F.length("text"), F.lit(0)) / LENGTH))).cast("int")
+    rows = F.greatest(F.lit(1), F.floor(ROWS / F.pow(F.lit(2), size)))
+    chunk = F.xxhash64(F.col("_metadata.file_path"), size, F.floor(F.col("_metadata.row_index") / rows))
+    return df.select(chunk.alias("chunk"), size.alias("size"), "doc_id", "text", (fold(F.col("doc_id"), MODULUS) != REMAINDER).alias("train"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

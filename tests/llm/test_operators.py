@@ -573,3 +573,17 @@ def test_model_score_equals_brute_force(spark, sf_dir):
         if len(text) < 3000:
             wanted = sum(math.log10(p(state((b"\n" + text)[max(0, at + 1 - depth) : at + 1]), text[at])) for at in range(len(text)))
             assert r["score"] == pytest.approx(wanted, rel=1e-9)
+
+
+def test_scores_do_not_depend_on_chunks(spark, sf_dir, monkeypatch):
+    """Small chunks of many size classes give the scores of large ones."""
+
+    def rows():
+        return sorted(map(tuple, suffixtree.query(spark, sf_dir).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6), F.round("score", 6)).collect()))
+
+    expected = rows()
+    monkeypatch.setattr(suffixtree, "ROWS", 16)
+    monkeypatch.setattr(suffixtree, "LENGTH", 200)
+    sizes = suffixtree.chunked(spark.read.parquet(f"{sf_dir}/documents.parquet")).groupBy("chunk").agg(F.sum(F.length("text")).alias("n"), F.count("doc_id").alias("rows")).where("rows > 1").agg(F.max("n")).first()[0]
+    assert sizes <= 16 * 2 * 200
+    assert rows() == expected
