@@ -6,8 +6,11 @@ stands at ``LEAST_COUNT`` training positions, so the candidates grow with the co
 is retained if the next-byte distribution after it diverges from the one after its longest
 proper suffix.  Distributions are smoothed towards that suffix's, the root's towards the
 uniform one.  Contexts that share their last two bytes are judged together, each group in a
-task; the retained ones are gathered and broadcast.  The longest suffix state is found by
-walking the trie of reversed contexts, for all positions of many texts at once.
+task.  As the retained ones grow with the corpus, their size is summed up first.  Up to ``TABLES``
+bytes they are broadcast, and the longest suffix state is found by walking the trie of reversed
+contexts, for all positions of many texts at once.  Beyond that no process holds them: each
+different window is joined with the retained contexts among its suffixes, and its value goes
+back to the chunks that hold it.  Both ways give the same scores.
 
 The base score takes each token's count over all training documents.  Words are counted in
 chunks of neighbouring rows, dealt by word and added up there, and the counts that a chunk
@@ -26,7 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ SMOOTH, SMOOTH_ROOT = 5.0, 0.1
 ROWS, LENGTH = 2048, 32_768
 #: Different grams that a task holds at once.
 HELD = 1_500_000
+#: Bytes of the retained contexts' tables, as ``table_bytes`` bounds them, that may be broadcast.
+TABLES = 128 << 20
 END = b"\n"
 
 
@@ -58,18 +64,22 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words).replace(b"\0", b"\1") + END
 
 
-def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Different (context, symbol) windows of ``DEPTH`` + 1 bytes and their counts; byte 0 stands before a text."""
+def windows(streams: list[bytes]) -> np.ndarray:
+    """The (context, symbol) window of ``DEPTH`` + 1 bytes at each symbol; byte 0 stands before a text."""
     pad = b"\0" * DEPTH
     raw = np.frombuffer(b"".join([pad + END + s for s in streams]) or pad, dtype=np.uint8)
     if len(raw) <= DEPTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64)
     key = np.zeros(len(raw) - DEPTH, dtype=np.int64)
     for k in range(DEPTH + 1):
         key <<= 8
         key |= raw[k : k + len(key)]
-    key = key[(raw[DEPTH:] != 0) & (raw[DEPTH - 1 : -1] != 0)]  # neither padding nor the mark before a text
-    return np.unique(key, return_counts=True)
+    return key[(raw[DEPTH:] != 0) & (raw[DEPTH - 1 : -1] != 0)]  # neither padding nor the mark before a text
+
+
+def grams(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows and their counts."""
+    return np.unique(windows(streams), return_counts=True)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +148,31 @@ def counted_grams(docs: DataFrame) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(run, "gram bigint, n bigint")
 
 
+def held_windows(docs: DataFrame) -> DataFrame:
+    """``chunk, gram`` of ``docs`` (chunk, size, text): a row for each window that a chunk holds, or a few of equal ones."""
+    names = ["chunk", "gram"]
+
+    def rows_of(chunk: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(keys))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), chunk, dtype=np.int64)), pa.array(found)], names=names)
+
+    def run(batches):
+        open_chunks = {}  # by size class, as in counted_words
+        for batch in batches:
+            for at, kind, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                chunk, parts, held = open_chunks.get(kind, (None, [], 0))
+                if chunk is not None and (at != chunk or held > HELD):
+                    yield rows_of(chunk, parts)
+                    parts, held = [], 0
+                parts.append(np.unique(windows([stream(tokens(text))])))
+                open_chunks[kind] = (at, parts, held + len(parts[-1]))
+        for chunk, parts, _ in open_chunks.values():
+            yield rows_of(chunk, parts)
+
+    small_batches(docs.sparkSession)
+    return docs.select("chunk", "size", "text").mapInArrow(run, "chunk bigint, gram bigint")
+
+
 class Lookup:
     """Numbers by different keys of 0 and more, for whole arrays at once; open addressing."""
 
@@ -290,11 +325,39 @@ def _found(rows: pa.Table) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def learn(rows: DataFrame) -> Tree:
-    """The tree of the corpus, from the rows of ``counted_grams``."""
+def _suffix(level: int) -> Column:
+    """``level, context`` of a window's last bytes before its symbol."""
+    last = F.col("gram").bitwiseAND(F.lit((1 << 8 * (level + 1)) - 1))
+    return F.struct(F.lit(level).alias("level"), F.shiftright(last, 8).alias("context"))
+
+
+def _symbol() -> Column:
+    return F.col("gram").bitwiseAND(F.lit(255)).alias("symbol")
+
+
+_STATES = "level int, context bigint, symbols array<bigint>, counts array<bigint>, logs array<double>, unseen double"
+
+
+def _states(kept: list[bytes], found: dict, dense: dict[bytes, np.ndarray]) -> pa.Table:
+    """Rows of ``_STATES``: next symbols of retained contexts, their counts and the log10 of their
+    probabilities, and what is added to the suffix's value for a symbol not seen there."""
+    n = np.array([found[c][1].sum() for c in kept], dtype=float)
+    root = np.array([not c for c in kept], dtype=bool)
+    unseen = np.log10(np.where(root, SMOOTH_ROOT / (n + 256 * SMOOTH_ROOT), SMOOTH / (n + SMOOTH)))
+    return pa.table({
+        "level": pa.array([len(c) for c in kept], pa.int32()),
+        "context": pa.array([int.from_bytes(c, "big") for c in kept], pa.int64()),
+        "symbols": pa.array([found[c][0].tolist() for c in kept], pa.list_(pa.int64())),
+        "counts": pa.array([found[c][1].tolist() for c in kept], pa.list_(pa.int64())),
+        "logs": pa.array([np.log10(dense[c][found[c][0]]).tolist() for c in kept], pa.list_(pa.float64())),
+        "unseen": pa.array(unseen, pa.float64()),
+    })
+
+
+def learn(rows: DataFrame) -> DataFrame:
+    """The retained contexts of the corpus as ``_STATES``, from the rows of ``counted_grams``; the empty one is always there."""
     sums = rows.groupBy("gram").agg(F.sum("n").alias("n"))
-    windows = [F.struct(F.lit(k).alias("level"), F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)), 8).alias("context")) for k in range(DEPTH + 1)]
-    one = sums.select(F.explode(F.array(*windows)).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n").select("at.*", "symbol", "n")
+    one = sums.select(F.explode(F.array(*[_suffix(k) for k in range(DEPTH + 1)])).alias("at"), _symbol(), "n").select("at.*", "symbol", "n")
     # a window that reaches before the text has a byte 0 in front, and is none of that length
     one = one.where((F.col("level") == 0) | F.expr("shiftright(context, 8 * (level - 1)) <> 0")).groupBy("level", "context", "symbol").agg(F.sum("n").alias("n"))
     # a context has at most 256 symbols
@@ -302,21 +365,50 @@ def learn(rows: DataFrame) -> Tree:
     by = written(by.where((F.col("level") == 0) | (F.col("total") >= LEAST_COUNT)).drop("total"), "contexts")
     found = _found(by.where("level < 2").toArrow())  # 257 contexts at most
     short = _root(found)
-    kept = retained(found, short)
+    kept = [b"", *retained(found, short)]
 
     def run(group: pa.Table) -> pa.Table:
         # all suffixes of a context but the shortest share its last two bytes
-        held = _found(group)
-        good = retained(held, dict(short))
-        lists = [pa.array([held[c][k].tolist() for c in good], pa.list_(pa.int64())) for k in (0, 1)]
-        return pa.table([pa.array(good, pa.binary()), *lists], names=["context", "symbols", "counts"])
+        held, dense = _found(group), dict(short)
+        return _states(retained(held, dense), held, dense)
 
     tail = F.col("context").bitwiseAND(F.lit(0xFFFF)).alias("tail")
-    longer = by.where("level > 1").groupBy(tail).applyInArrow(run, "context binary, symbols array<bigint>, counts array<bigint>")
-    for r in written(longer, "retained").toLocalIterator():
-        found[bytes(r["context"])] = (np.array(r["symbols"], dtype=np.int64), np.array(r["counts"], dtype=np.int64))
-        kept.append(bytes(r["context"]))
-    return _tree(found, kept)
+    longer = written(by.where("level > 1").groupBy(tail).applyInArrow(run, _STATES), "retained")
+    return rows.sparkSession.createDataFrame(_states(kept, found, short), longer.schema).unionAll(longer)
+
+
+def table_bytes(states: DataFrame) -> int:
+    """No fewer bytes than the ``Tables`` of these contexts take: a slot of 16 bytes is a third
+    filled at least, a node has two slots' worth of numbers, and a context has a node for each byte at most."""
+    size = 48 * F.size("symbols") + 64 * F.col("level") + 64
+    return states.agg(F.sum(size)).first()[0]
+
+
+def gathered(states: DataFrame) -> Tree:
+    """The tree of these contexts, on the driver; for those whose ``table_bytes`` are known to be few."""
+    found = {}
+    for r in states.select("level", "context", "symbols", "counts").toLocalIterator():
+        found[r["context"].to_bytes(r["level"], "big")] = (np.array(r["symbols"], dtype=np.int64), np.array(r["counts"], dtype=np.int64))
+    return _tree(found, list(found))
+
+
+def valued(grams: DataFrame, states: DataFrame) -> DataFrame:
+    """``gram, value`` of different windows: the log10 probability of the last byte after those before it.
+
+    It is that of the longest retained suffix that has seen the byte, and what each longer one adds."""
+    log = F.expr("element_at(logs, cast(nullif(array_position(symbols, symbol), 0) as int))")
+
+    def met(levels: range, of: DataFrame) -> DataFrame:
+        at = grams.select("gram", _symbol(), F.explode(F.array(*[_suffix(k) for k in levels])).alias("at"))
+        return at.select("gram", "symbol", "at.*").join(of, ["level", "context"]).select("gram", "level", log.alias("log"), "unseen")
+
+    rows = states.drop("counts")
+    # 257 contexts at most are shorter than two bytes; every window has one of them
+    both = met(range(2), F.broadcast(rows.where("level < 2"))).unionAll(met(range(2, DEPTH + 1), rows.where("level > 1")))
+    seen = F.max(F.when(F.col("log").isNotNull(), F.struct("level", "log"))).alias("seen")
+    by = both.groupBy("gram").agg(seen, F.collect_list(F.struct("level", "unseen")).alias("passed"))
+    added = F.expr("aggregate(filter(passed, x -> x.level > coalesce(seen.level, -1)), 0D, (a, x) -> a + x.unseen)")
+    return by.select("gram", (F.coalesce("seen.log", F.lit(0.0)) + added).alias("value"))
 
 
 class _Cache:
@@ -353,6 +445,10 @@ def log_probability(streams: list[bytes], tables: Tables) -> np.ndarray:
         values[missed] = found[where]
         at, first = np.unique(cache.slots(new), return_index=True)
         cache.keys[at], cache.values[at] = new[first], found[first]
+    return _sums(values, streams)
+
+
+def _sums(values: np.ndarray, streams: list[bytes]) -> np.ndarray:
     ends = np.cumsum([len(s) for s in streams])
     return np.add.reduceat(values, np.concatenate([[0], ends[:-1]]))
 
@@ -381,7 +477,7 @@ def _log_of(key: np.ndarray, tables: Tables) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     """Scores of ``docs`` (chunk, size, doc_id, text, train), each chunk a few MB of rows near each other."""
     spark = docs.sparkSession
-    tree = learn(counted_grams(docs))
+    states = learn(counted_grams(docs))
     # dealt by word once: for each word's sum over its chunks, and for the numbers of all words
     words = counted_words(docs).repartition("word")
     c = F.sum("n").over(W.partitionBy("word"))
@@ -389,9 +485,27 @@ def score(docs: DataFrame) -> DataFrame:
     # the least chunk is asked for so that both read the same columns, hence the same shuffled rows
     sums = words.groupBy("word").agg(F.sum("n").alias("c"), F.min("chunk").alias("least"))
     totals = sums.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if((F.col("c") > 0) & F.col("least").isNotNull()).alias("v"))
-    sent = spark.sparkContext.broadcast(tree.tables())
+    if table_bytes(states) <= TABLES:
+        sent = spark.sparkContext.broadcast(gathered(states).tables())
+
+        def logs_by(right: pa.Table):
+            return lambda streams: log_probability(streams, sent.value)
+    else:
+        held = written(held_windows(docs), "windows")
+        # a window has a row for each chunk at most on one side and one on the other
+        values = held.join(valued(held.select("gram").distinct(), states), "gram")
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("gram", "bigint"), ("value", "double"))]
+        needed = needed.select("*", *nothing).unionByName(values, allowMissingColumns=True)
+
+        def logs_by(right: pa.Table):
+            right = right.filter(pc.is_valid(right.column("gram")))
+            gram, at = np.unique(right.column("gram").to_numpy(), return_index=True)
+            known = Lookup(gram, right.column("value").to_numpy()[at])
+            return lambda streams: _sums(known.get(windows(streams))[0], streams)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        logs_of = logs_by(right)
+        right = right.filter(pc.is_valid(right.column("word")))
         count_of = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist()))
         scores, numbers = [], []
         texts = left.column("text")
@@ -404,7 +518,7 @@ def score(docs: DataFrame) -> DataFrame:
                 numbers.append((len(found), int(np.count_nonzero(c)), float(np.log10(c + 1).sum())))
                 found.pop()
                 streams.append(stream(found))
-            scores.append(log_probability(streams, sent.value))
+            scores.append(logs_of(streams))
         many = list(zip(*numbers)) if numbers else [(), (), ()]
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array([not t for t in left.column("train").to_pylist()], pa.bool_()),

@@ -526,7 +526,7 @@ def test_contexts_grow_with_the_corpus(spark):
     for copies in (1, 400):
         docs = spark.createDataFrame([(0, rare, True), *[(0, common, True)] * copies], "chunk long, text string, train boolean").coalesce(1)
         rows = suffixtree.counted_grams(docs).cache()
-        trees.append(suffixtree.learn(rows))
+        trees.append(suffixtree.gathered(suffixtree.learn(rows)))
         found: dict = {}
         for r in rows.collect():
             window = r["gram"].to_bytes(suffixtree.DEPTH + 1, "big")
@@ -540,8 +540,11 @@ def test_contexts_grow_with_the_corpus(spark):
     assert kept and {c for c in trees[0].contexts if b"q" in c or b"x" in c} <= kept
 
 
-def test_model_score_equals_brute_force(spark, sf_dir):
-    """Contexts, divergence tests, smoothing and suffix search written out over strings of bytes."""
+@pytest.mark.parametrize("most", [suffixtree.TABLES, 0])
+def test_model_score_equals_brute_force(spark, sf_dir, monkeypatch, most):
+    """Contexts, divergence tests, smoothing and suffix search written out over strings of bytes,
+    for retained contexts that are broadcast and for those that are too many for it."""
+    monkeypatch.setattr(suffixtree, "TABLES", most)
     clean = lambda t: re.sub(rb"[\x20\x09-\x0d]+", b" ", (t or "").encode()).strip(b" ").replace(b"\0", b"\1")
     found = {i: re.sub(rb"[A-Z]", lambda m: m[0].lower(), clean(t)) + b"\n" for i, t in texts(spark, sf_dir).items()}
     depth, after = suffixtree.DEPTH, {}
@@ -575,6 +578,22 @@ def test_model_score_equals_brute_force(spark, sf_dir):
             assert r["score"] == pytest.approx(wanted, rel=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_windows_are_valued_on_odd_tables(spark, tables, monkeypatch, kind):
+    """Where no process holds the contexts, every row has the score that it has where one does."""
+    expected = sorted(map(repr, suffixtree.query(spark, tables[kind]).select("doc_id", F.round("score", 6)).collect()))
+    monkeypatch.setattr(suffixtree, "TABLES", 0)
+    assert sorted(map(repr, suffixtree.query(spark, tables[kind]).select("doc_id", F.round("score", 6)).collect())) == expected
+
+
+def test_table_bytes_bound_the_tables(spark, sf_dir):
+    """What is compared with ``TABLES`` is no less than the arrays that are broadcast."""
+    states = suffixtree.learn(suffixtree.counted_grams(suffixtree.chunked(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    t = suffixtree.gathered(states).tables()
+    arrays = [t.state, t.parent, t.unseen, *(a for x in (t.children, t.logs) for a in (x.keys, x.values))]
+    assert sum(a.nbytes for a in arrays) <= suffixtree.table_bytes(states)
+
+
 def test_scores_do_not_depend_on_chunks(spark, sf_dir, monkeypatch):
     """Small chunks of many size classes give the scores of large ones."""
 
