@@ -5,6 +5,7 @@ that a rule's SQL can be written against the same nested rows that the rule read
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from factloom.facts import FAMILIES
 
 _PRIME = 9973
+#: Keys that one task makes facts of.
+TASK_KEYS = 10_000
 #: Values that a field takes, by name or by family and name; other fields are numbers, flags or short texts.
 OPTIONS: dict[str, list] = {
     "path": ["src/a.py", "src/tests/b.py", "lib/models/c.py", "app/enums/d.py", "x/x.py", "pkg/__init__.py", "döc/e.rs", "typings.py"],
@@ -132,6 +135,15 @@ def _fields(family: str, duck: bool) -> list[tuple[T.StructField, str]]:
     return [(f, made.get(f.name) or _value(f.dataType, f"{family}.{f.name}", "", duck)) for f in _schema(family)]
 
 
+def dealt(keys: DataFrame, key: str) -> DataFrame:
+    """The keys over as many tasks as their number asks for.
+
+    A key is a few bytes in a file and some kB as a fact, so that the partitions of a file are too few.
+    Keys are dealt in turn, so that equal ones spread as well."""
+    spark = keys.sparkSession
+    return keys.select(key).repartition(max(spark.sparkContext.defaultParallelism, math.ceil(keys.count() / TASK_KEYS)))
+
+
 def facts(keys: DataFrame, key: str, family: str) -> DataFrame:
     """A fact for each key."""
     rows = keys.select(F.col(key).cast("bigint").alias("k"))
