@@ -71,7 +71,7 @@ _TOKENS = "list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')
 
 
 def _windows(table, size: int):
-    items = F.filter(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda x: x != "")
+    items = F.array_remove(F.split(F.coalesce("text", F.lit("")), " ", -1), "")
     return clones.windows(table("benchmark").withColumnRenamed("item_id", "key").unionByName(table("documents").select((-1 - F.col("doc_id")).alias("key"), "text")), "key", items, size)
 
 
