@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def last_name(qualified: Column) -> Column:
 def about(text: str, *fields: str):
     """A message that names fields of the item that it is about."""
     return lambda x: say(text + " ", *[v for f in fields for v in (x[f], " ")]) if fields else say(text)
+
+
+def named(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression that reads a value more than once, or inside a list, and makes it once."""
+    return F.element_at(F.transform(F.array(value), of), 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions.numbers import percentage
 from factloom.plans.policy import Numeric
 from factloom.plans.rules import counted, flagged, gauged, measured, rule, say
-from factloom.rules.common import about, any_of, col, filled, given, last_name, one_of
+from factloom.rules.common import about, any_of, col, filled, given, last_name, named, one_of
 
 
 def _words(path, separator: str):
@@ -286,17 +286,17 @@ def paragraph_length_uniformity(minimum_paragraphs: int = 4, minimum_words: int
 def _uniformity(field: str, least: int, words: int, noun: str):
     """100 less the mean absolute deviation from the mean, in percent of the mean; not under 0."""
     sizes = F.filter(F.flatten(F.transform("sections", lambda s: s[field])), lambda n: n >= words)
-    n = F.size(sizes)
-    mean = F.try_divide(F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x), n.cast("double"))
-    off = F.try_divide(F.aggregate(F.transform(sizes, lambda x: F.abs(x - mean)), F.lit(0.0), lambda a, x: a + x), n.cast("double"))
-    return gauged(F.when(n >= least, F.greatest(F.lit(0.0), 100.0 * (1 - F.try_divide(off, mean)))), say(noun + " of much the same length: ", n))
+    average = lambda items: F.try_divide(F.aggregate(items, F.lit(0.0), lambda a, x: a + x), F.size(items).cast("double"))
+    share = lambda items, mean: F.greatest(F.lit(0.0), 100.0 * (1 - F.try_divide(average(F.transform(items, lambda x: F.abs(x - mean))), mean)))
+    value = named(sizes, lambda items: F.when(F.size(items) >= least, named(average(items), lambda mean: share(items, mean))))
+    return gauged(value, say(noun + " of much the same length: ", F.size(sizes)))
 
 
 @rule("ALL-WRIT0005", "ProseSegment", kind="float", policy=Numeric(maximum=30))
 def sentence_opener_concentration(minimum_sentences: int = 6, ignored_openers: tuple = ("a", "i")):
     openers = F.filter(F.transform(F.flatten(F.transform("sections", lambda s: s["sentence_openers"])), F.lower), lambda w: ~w.isin(*ignored_openers) & (w != ""))
-    most = F.array_max(F.transform(F.array_distinct(openers), lambda w: F.size(F.filter(openers, lambda x: x == w))))
-    return gauged(F.when(F.size(openers) >= minimum_sentences, percentage(most, F.size(openers))), "sentences that open with one word")
+    most = lambda items: F.array_max(F.transform(F.array_distinct(items), lambda w: F.size(F.filter(items, lambda x: x == w))))
+    return gauged(named(openers, lambda items: F.when(F.size(items) >= minimum_sentences, percentage(most(items), F.size(items)))), "sentences that open with one word")
 
 
 @rule("ALL-ENCA0001", "AttributeAccess")
