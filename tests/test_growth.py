@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from factloom.facts import fact_table
-from factloom.operators import clones
+from factloom.operators import clones, history
 from factloom.plans.model import BATCH_ROWS, Constant, Keywords
 from factloom.queries import evidence
 import factloom.rules  # noqa: F401
@@ -97,3 +97,19 @@ def test_uniformity_makes_its_list_once(spark):
     value = REGISTRY["ALL-WRIT0003"].build().value
     rows = fact_table(spark, "ProseSegment", [{**AT, "fact_id": "x"}]).select(value.alias("v"))
     assert rows._jdf.queryExecution().analyzed().toString().count("sentence_word_counts") <= 2
+
+
+def test_pairs_are_made_once_for_their_references(spark):
+    """Words and other names are found as a pattern finds them; pairs that stand twice stay twice."""
+    names = ["a", "a1", "é", "a-b", "x y", "", "Z_"]
+    lines = ["import a", "a1.a", "é,a-b", "from x y", "", "xZ_", "a-b\n", None]
+    pairs = spark.createDataFrame([(f"src/{x}.py", f"lib/{y}.py", 1) for x in names for y in names] + [("src/a.py", "lib/a.py", 1), (None, "lib/a.py", 2)], "left string, right string, shared int")
+    imports = spark.createDataFrame([(f"{d}/{x}.py", line) for d in ("src", "lib") for x in names[:4] for line in lines], "path string, imported string")
+    made = history.references(pairs, imports)
+    assert made.columns == [*pairs.columns, "import_reference_count"] and plan(made).count("Scan ExistingRDD[left") == 1
+    word = lambda line, name: line is not None and re.search(rf"(^|[^\w]){re.escape(name)}($|[^\w])", line) is not None
+    of = lambda path, name: sum(word(line, name) for p, line in ((r["path"], r["imported"]) for r in given) if path is not None and p == path)
+    given = imports.collect()
+    base = lambda path: None if path is None else path.split("/")[-1].split(".")[0]
+    wanted = [(r["left"], r["right"], r["shared"], (of(r["left"], base(r["right"])) if r["left"] else 0) + (of(r["right"], base(r["left"])) if r["left"] else 0)) for r in pairs.collect()]
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, wanted))
